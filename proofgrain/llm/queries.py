@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofgrain.llm import leakage, mojibake, near_duplicates, repeated_lines, tokens
+from proofgrain.llm import leakage, lookalikes, mojibake, near_duplicates, personal_data, repeated_lines, tokens
 from proofgrain.session import read_table
 
 
@@ -46,6 +46,40 @@ def p4_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return block.groupBy("source", "block").agg(F.count(F.lit(1)).alias("lines"), F.max("docs").alias("docs")).drop("block")
 
 
+def p5_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    names = read_table(spark, sf, "name_parts")
+    a = personal_data.mentions(read_table(spark, sf, "documents"), "documents", "doc_id", "text", names)
+    return a.union(personal_data.mentions(read_table(spark, sf, "serp_docs"), "serp_docs", "fetch_id", "snippet", names))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_mentions(spark, sf).select("tbl", "row_id", "kind", "start_pos")
+
+
+def p5_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    names = read_table(spark, sf, "name_parts")
+    a = personal_data.redacted(read_table(spark, sf, "documents"), "documents", "doc_id", "text", names)
+    return a.union(personal_data.redacted(read_table(spark, sf, "serp_docs"), "serp_docs", "fetch_id", "snippet", names))
+
+
+def _forms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    facts = read_table(spark, sf, "fact_verdicts").select("verdict_id", "query_id", "fact")
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return lookalikes.bring_to_form(facts, ["verdict_id", "query_id"], "fact"), lookalikes.bring_to_form(docs, ["doc_id"], "text")
+
+
+def p6_forms(spark: SparkSession, sf: str) -> DataFrame:
+    facts, docs = _forms(spark, sf)
+    return facts.select(F.lit("fact_verdicts").alias("tbl"), F.col("verdict_id").alias("row_id"), "form").union(docs.select(F.lit("documents"), "doc_id", "form"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    facts, docs = _forms(spark, sf)
+    a = lookalikes.look_same(facts, "verdict_id", ["query_id"], "fact")
+    b = lookalikes.look_same(docs, "doc_id", [], "text")
+    return a.select(F.lit("fact_verdicts").alias("tbl"), "id_a", "id_b").union(b.select(F.lit("documents"), "id_a", "id_b"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode(read_table(spark, sf, "documents"), "doc_id", "text")
 
