@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofgrain.llm import leakage, lookalikes, mojibake, near_duplicates, personal_data, repeated_lines, tokens
+from proofgrain.llm import leakage, lookalikes, mojibake, near_duplicates, personal_data, repeated_lines, residue, tokens
 from proofgrain.session import read_table
 
 
@@ -80,6 +80,22 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return a.select(F.lit("fact_verdicts").alias("tbl"), "id_a", "id_b").union(b.select(F.lit("documents"), "id_a", "id_b"))
 
 
+def p7_residue(spark: SparkSession, sf: str) -> DataFrame:
+    docs, pages = read_table(spark, sf, "documents"), read_table(spark, sf, "serp_docs")
+    model = residue.gather([docs.select("text"), docs.select("title"), pages.select("title")])
+    return residue.residue(docs, "documents", "doc_id", ["text", "title"], model).union(residue.residue(pages, "serp_docs", "fetch_id", ["title"], model))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p7_residue(spark, sf).select("tbl", "row_id", "field")
+
+
+def p7_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents kept: those without a case in text or title."""
+    bad = p7_found(spark, sf).where("tbl = 'documents'").select(F.col("row_id").alias("doc_id")).distinct()
+    return read_table(spark, sf, "documents").select("doc_id", "url", "source", "lang").join(bad, "doc_id", "left_anti")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode(read_table(spark, sf, "documents"), "doc_id", "text")
 
