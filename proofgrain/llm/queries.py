@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofgrain.llm import leakage, lookalikes, mojibake, near_duplicates, personal_data, repeated_lines, residue, tokens
+from proofgrain.llm import leakage, lookalikes, mojibake, near_duplicates, personal_data, repeated_lines, residue, tokens, truncation
 from proofgrain.session import read_table
 
 
@@ -108,6 +108,18 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return p9_leaks(spark, sf).select("doc_id", "item_id")
 
 
+def p10_truncated(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncated(read_table(spark, sf, "documents"), "doc_id", "text", "source")
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_truncated(spark, sf).select("doc_id")
+
+
+def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.rates(read_table(spark, sf, "documents"), "doc_id", "text", "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1].isdigit()}
 

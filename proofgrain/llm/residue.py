@@ -242,6 +242,14 @@ def decide(text: str | None, model: Model) -> tuple[str, float] | None:
     return None
 
 
+def has_form(text: str) -> bool:
+    """Whether a text has the form of residue, whatever the model's odds."""
+    lines = body(text)
+    whole = "\n".join(lines)
+    return (len(whole) <= LONGEST_NOTICE and is_notice(whole)) or any(
+        SIGNS.search(x.lower()) and _ratio(x) > 0.7 or any(o and not ABOUT.search(a) for _, a, o in marks(x)) for x in lines)
+
+
 def residue(df: DataFrame, tbl: str, key: str, fields: list[str], model: Model) -> DataFrame:
     """tbl, row_id, field, kind, odds of each field that is a case."""
     b = df.sparkSession.sparkContext.broadcast((model.prior, model.weights, model.unseen))  # bounded by the sample
