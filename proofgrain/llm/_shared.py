@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from proofgrain.session import cut, read_table, small  # noqa: F401
 
 ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(),
-         "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64()),
+         "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64()),
          "array<string>": pa.list_(pa.string())}
 
 

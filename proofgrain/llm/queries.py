@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofgrain.llm import leakage, lookalikes, mojibake, near_duplicates, personal_data, repeated_lines, residue, tokens, truncation
+from proofgrain.llm import leakage, lookalikes, main_body, mojibake, near_duplicates, personal_data, repeated_lines, residue, tokens, truncation
 from proofgrain.session import read_table
 
 
@@ -32,6 +32,18 @@ def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.classes(*_near(spark, sf))
 
 
+def p3_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return main_body.classified(read_table(spark, sf, "serp_docs"), "fetch_id", "url", "raw_html", "title", "text")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p3_lines(spark, sf).where("not main").select("fetch_id", "line_no")
+
+
+def p3_main(spark: SparkSession, sf: str) -> DataFrame:
+    return main_body.main_text(read_table(spark, sf, "serp_docs"), "fetch_id", "url", "raw_html", "title", "text")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     hits, _ = repeated_lines.boilerplate(read_table(spark, sf, "documents"), "doc_id", "text", "source")
     return hits.select(F.col("row_id").alias("doc_id"), "line_no")
