@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from proofgrain.plans import texts
+
+MODULES = (texts,)
+
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/research_queries.parquet")
+    return texts.token_sets(spark, sf)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for m in MODULES for f in m.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {n: s for m in MODULES for n, s in m.SQL.items()}
