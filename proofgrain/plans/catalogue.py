@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofgrain.plans import texts
+from proofgrain.plans import evidence, routing, texts
 
-MODULES = (texts,)
+MODULES = (texts, evidence, routing)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return texts.token_sets(spark, sf)
+    """The ranked sources of every question, with weights."""
+    return evidence.top_sources(spark, sf)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
