@@ -40,8 +40,10 @@ LOOK_ALIKE = {
 INVISIBLE = "͏ᅟᅠ឴឵ㅤﾠ" + "".join(map(chr, range(0xFE00, 0xFE10))) + "᠋᠌᠍"
 #: Kinds of compatibility decomposition that look like the plain text.
 SAME_LOOK = {"<wide>", "<narrow>", "<compat>", "<font>", "<noBreak>", "<small>"}
-#: Texts of these characters only are in form.
-QUICK = r"^[\x00-\x7f一-鿿À-ÿ‘’“”„–—…•‹›、。《》「」€«»]*+$"
+#: Characters that are in form wherever they stand (but may take a combining mark).
+SETTLED = r"\x00-\x7f一-鿿À-ÿ‘’“”„–—…•‹›、。《》「」€«»"
+#: Combining marks and format characters, which belong to the character before them.
+ATTACHED = r"[\p{M}\p{Cf}]"
 SINGLE = {a: b for x, y in LOOK_ALIKE.items() for a, b in zip(x, y)}
 FULL_WIDTH = "".join(map(chr, range(0xFF01, 0xFF5F)))
 ASCII = "".join(map(chr, range(0x21, 0x7F)))
@@ -84,23 +86,6 @@ def canonical(text: str) -> str:
     return unicodedata.normalize("NFC", t)
 
 
-@lru_cache(1)
-def special_class() -> str:
-    """Regex class of the characters that may not be in form (marks, and what maps to something else)."""
-    m = mapping()
-    odd = sorted(ord(c) for c in [*m, *(chr(o) for o in range(0x300, 0x3100) if unicodedata.combining(chr(o)))]
-                 if unicodedata.combining(c) or unicodedata.normalize("NFC", m.get(c, c)) != c)
-    ranges, gap = [], 24
-    for o in odd:
-        if ranges and o - ranges[-1][1] <= gap and not any(0x4E00 <= x <= 0x9FFF for x in (o, ranges[-1][1])):
-            ranges[-1][1] = o
-        else:
-            ranges.append([o, o])
-    esc = lambda o: f"\\x{{{o:x}}}"
-    # ordinary punctuation that lies in a merged range is taken out again
-    return "[" + "".join(esc(a) if a == b else f"{esc(a)}-{esc(b)}" for a, b in ranges) + "&&[^‘’“”„–—…•‹›、。《》「」\\x{ff01}-\\x{ff5e}]]"
-
-
 @lru_cache(1)
 def _compositions() -> tuple[list[str], list[str]]:
     keys, values = [], []
@@ -115,19 +100,18 @@ def _compositions() -> tuple[list[str], list[str]]:
 def bring_to_form(df: DataFrame, key: list[str], text: str) -> DataFrame:
     """key columns, ``text`` as stored, and ``form``. The key must be unique and without nulls."""
     spark = df.sparkSession
-    sp = special_class()
-    base = df.select(*key, text).withColumn("_t", F.translate(text, FULL_WIDTH, ASCII))
-    # most texts consist of a few classes throughout, which is tested first and fast
-    dirty = F.coalesce(~F.col("_t").rlike(QUICK) & F.col("_t").rlike(sp), F.lit(False))
-    outside = f"(?:(?!{sp})[\\s\\S])"
-    pieces = (
-        base.where(dirty)
-        .select(*key, F.posexplode(F.regexp_extract_all("_t", F.lit(f"(?s){outside}+(?!{sp})|{outside}?{sp}+"), F.lit(0))).alias("_seg", "_s"))
-    )
+    wide = F.when(F.col(text).rlike("[\uff01-\uff5e]"), F.translate(text, FULL_WIDTH, ASCII)).otherwise(F.col(text))
+    base = df.select(*key, text).withColumn("_t", wide)
+    settled = F.coalesce(F.col("_t").rlike(f"^[{SETTLED}]*+$"), F.lit(True))
+    odd = cut(base.where(~settled))
+    # plain runs, and clusters of one character with what is attached to it
+    cluster = f"[{SETTLED}]{ATTACHED}+|[^{SETTLED}]{ATTACHED}*"
+    pieces = odd.select(*key, F.posexplode(F.regexp_extract_all("_t", F.lit(f"(?s)[{SETTLED}]+(?!{ATTACHED})|{cluster}"), F.lit(0))).alias("_seg", "_s"))
+    is_cluster = F.col("_s").rlike(f"[^{SETTLED}]")
     rows = [(c, [(x, unicodedata.combining(x)) for x in p]) for c, p in mapping().items()]
     rows += [(c, [(c, unicodedata.combining(c))]) for c in map(chr, range(0x300, 0x3100)) if unicodedata.combining(c) and c not in mapping()]
     table = spark.createDataFrame(rows, "_c string, _m array<struct<c:string,k:int>>").coalesce(1)  # one row a mapped code point: of fixed size
-    clusters = pieces.where(F.col("_s").rlike(sp))
+    clusters = pieces.where(is_cluster)
     points = clusters.select(*key, "_seg", F.posexplode(F.regexp_extract_all("_s", F.lit("(?s)."), F.lit(0))).alias("_i", "_c"))
     mapped = points.join(F.broadcast(table), "_c", "left").withColumn("_m", F.coalesce("_m", F.array(F.struct(F.col("_c").alias("c"), F.lit(0).alias("k")))))
     keys, values = _compositions()
@@ -147,10 +131,10 @@ def bring_to_form(df: DataFrame, key: list[str], text: str) -> DataFrame:
         return F.when(x["k"] == 0, new).when(joins, merged).otherwise(kept)
 
     done = whole.withColumn("x", ordered).select(*key, "_seg", F.aggregate("x", start, step, lambda a: F.concat(a["done"], a["base"], a["marks"])).alias("_s"))
-    parts = pieces.where(~F.col("_s").rlike(sp)).union(done)
+    parts = pieces.where(~is_cluster).union(done)
     rebuilt = parts.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_seg", "_s"))), lambda p: p["_s"]), "").alias("form"))
-    stored = base.where(dirty).select(*key, text)
-    return base.where(~dirty).select(*key, text, F.col("_t").alias("form")).union(stored.join(rebuilt, key).select(*key, text, "form"))
+    stored = odd.select(*key, text)
+    return base.where(settled).select(*key, text, F.col("_t").alias("form")).union(stored.join(rebuilt, key).select(*key, text, "form"))
 
 
 def look_same(forms: DataFrame, key: str, within: list[str], text: str) -> DataFrame:
