@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofgrain.plans import evidence, routing, texts
+from proofgrain.plans import events, evidence, routing, texts
 
-MODULES = (texts, evidence, routing)
+MODULES = (texts, evidence, routing, events)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
