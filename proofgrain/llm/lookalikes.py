@@ -99,6 +99,14 @@ def _compositions() -> tuple[list[str], list[str]]:
 
 def bring_to_form(df: DataFrame, key: list[str], text: str) -> DataFrame:
     """key columns, ``text`` as stored, and ``form``. The key must be unique and without nulls."""
+    names, key = key, [f"_k{i}" for i in range(len(key))]
+    stored, text = text, "_text"
+    df = df.select(*[F.col(n).alias(k) for n, k in zip(names, key)], F.col(stored).alias(text))
+    done = _bring(df, key, text)
+    return done.select(*[F.col(k).alias(n) for n, k in zip(names, key)], F.col(text).alias(stored), "form")
+
+
+def _bring(df: DataFrame, key: list[str], text: str) -> DataFrame:
     spark = df.sparkSession
     wide = F.when(F.col(text).rlike("[\uff01-\uff5e]"), F.translate(text, FULL_WIDTH, ASCII)).otherwise(F.col(text))
     base = df.select(*key, text).withColumn("_t", wide)

@@ -56,7 +56,7 @@ def _tables() -> tuple[dict[str, dict[str, int]], list[tuple[str, re.Pattern]]]:
         back[enc] = {c: b for b, c in chars.items()}
         cls = lambda lo, hi, chars=chars: "[" + "".join(re.escape(chars[b]) for b in range(lo, hi + 1)) + "]"
         tail = cls(0x80, 0xBF)
-        seqs.append((enc, re.compile(f"(?:{cls(0xC2, 0xC5)}{tail}|(?:{cls(0xE2, 0xE9)}|{cls(0xEF, 0xEF)}){tail}{{2}}|{cls(0xF0, 0xF0)}{tail}{{3}})+")))
+        seqs.append((enc, re.compile(f"(?:(?:{cls(0xC2, 0xC6)}|{cls(0xCB, 0xCB)}){tail}|(?:{cls(0xE2, 0xE9)}|{cls(0xEF, 0xEF)}){tail}{{2}}|{cls(0xF0, 0xF0)}{tail}{{3}})+")))
     return back, seqs
 
 
@@ -64,7 +64,7 @@ BACK, SEQUENCES = _tables()
 
 
 #: A UTF-8 sequence of the scripts handled (Latin, CJK, punctuation, emoji) under any of the encodings.
-LEADS = "".join(re.escape(c) for e in READ_AS for c, b in BACK[e].items() if 0xC2 <= b <= 0xC5 or 0xE2 <= b <= 0xE9 or b in (0xEF, 0xF0))
+LEADS = "".join(re.escape(c) for e in READ_AS for c, b in BACK[e].items() if 0xC2 <= b <= 0xC6 or b == 0xCB or 0xE2 <= b <= 0xE9 or b in (0xEF, 0xF0))
 LEAD_TAIL = re.compile(f"[{LEADS}][{''.join(re.escape(c) for e in READ_AS for c, b in BACK[e].items() if b <= 0xBF)}]")
 STRANGE = re.compile("[^\x00-\x7f⺀-￯" + "".join(map(re.escape, sorted(HOME))) + r"]|[A-Za-zÀ-ÿ][»«”“„‚–—€£©®°§·•][A-Za-zÀ-ÿ]|[a-zà-ÿ][À-Þ]")
 WIDE = re.compile("[⺀-鿿가-힣＀-￯]")

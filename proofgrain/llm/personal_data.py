@@ -15,6 +15,7 @@ are those of the stored text. Null, empty and blank texts hold nothing.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -29,7 +30,8 @@ LEAST_SCORE = 2
 MAX_NAME_PARTS = 200_000
 FOLD = {ord(a): b for a, b in [*SINGLE.items(), *zip(FULL_WIDTH, ASCII), ("　", " "), (" ", " "), (" ", " "), (" ", " "), (" ", " "), (" ", " ")] if a != "’"}
 FOLDABLE = re.compile("[Ͱ-ԯ０-９Ａ-Ｚａ-ｚ＠＋．－（）　  -  ‐‑]")
-UNSEEN = re.compile("[­​-‏⁠-⁤﻿]")
+INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
+UNSEEN = re.compile("[\u00ad\u0300-\u036f\u200b-\u200f\u2060-\u2064\ufeff]")
 
 # Words that speak for or against a kind of number.
 PHONE_WORDS = re.compile(r"phone|call|tel\b|tel\.|desk at|telefon|unter|mobil|fax|joignable|appel|电话|手机|致电|热线|传真", re.I)
@@ -211,8 +213,14 @@ def fold(text: str) -> tuple[str, Callable[[int], int]]:
     t = text.translate(FOLD) if FOLDABLE.search(text) else text
     if not UNSEEN.search(t):
         return t, int
-    at = [i for i, c in enumerate(t) if not UNSEEN.match(c)]
-    return "".join(t[i] for i in at), lambda i: at[i]
+    out, at = [], []
+    for i, c in enumerate(t):
+        if unicodedata.combining(c) and out and len(both := unicodedata.normalize("NFC", out[-1] + c)) == 1:
+            out[-1] = both
+        elif not INVISIBLE.match(c):
+            out.append(c)
+            at.append(i)
+    return "".join(out), lambda i: at[i]
 
 
 ORDER = {"email": 0, "id_number": 1, "address": 2, "phone": 3, "name": 4}

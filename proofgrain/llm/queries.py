@@ -136,5 +136,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1].isdigit()}
 
 
+LINES = """lines as (select doc_id, source, unnest(range(len(l))) + 1 as line_no, unnest(l) as n from (
+    select doc_id, source, list_transform(string_split(text, chr(10)), lambda x: lower(trim(regexp_replace(regexp_replace(x, '[0-9]+', '0', 'g'), '[ \\t]+', ' ', 'g'), ' '))) as l from documents where text <> '')),
+  kept as (select * from lines where regexp_matches(n, '\\S')),
+  often as (select source, n, count(distinct doc_id) as docs from kept group by source, n having count(distinct doc_id) >= 5),
+  total as (select source, count(*) as total from documents where text <> '' group by source),
+  nodes as (select o.source, o.n, o.docs from often o join total t on o.source is not distinct from t.source where o.docs >= 0.05 * t.total - 1e-9)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p4_found": f"with {LINES} select k.doc_id, k.line_no::bigint as line_no from kept k join nodes o on k.source is not distinct from o.source and k.n = o.n",
+        "p4_clean": f"""with {LINES}, cut as (select doc_id, list(k.line_no) as no from kept k join nodes o on k.source is not distinct from o.source and k.n = o.n group by doc_id)
+  select d.doc_id, case when c.no is null then d.text else array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: not list_contains(c.no, i)), chr(10)) end as text from documents d left join cut c using (doc_id)""",
+    }
