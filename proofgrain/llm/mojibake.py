@@ -225,6 +225,10 @@ def _single_byte(line: str) -> str:
     odd = [c for c in NON_ASCII.findall(line)]
     if not odd or all(c in LOOK_LATIN for c in odd) or any(map(WIDE.match, odd)):
         return line
+    spots = [m.start() for m in NON_ASCII.finditer(line) if m.group() not in HOME]
+    beside = [(line[i - 1: i].isalpha(), line[i + 1: i + 2].isalpha()) for i in spots]
+    if 2 * sum(a or b for a, b in beside) < len(spots):
+        return line  # signs that stand by themselves
     before = cost(line)
     if before < 1.5:
         return line
@@ -240,7 +244,25 @@ def _single_byte(line: str) -> str:
         after = cost(new)
         if after < best_cost and after <= 0.35 * before and all(c in HOME for c in NON_ASCII.findall(new)):
             best, best_cost = new, after
-    return best
+    return best if best != line else WORD.sub(_word, line)
+
+
+WORD = re.compile(r"\w*[^\W\d_]\w*")
+
+
+def _word(m: re.Match) -> str:
+    """Round trip of one word: for a garbled place in a line that is right otherwise."""
+    word = m.group()
+    odd = [c for c in word if c > "\x7f" and c not in HOME]
+    if not odd or all(c in LOOK_LATIN for c in odd) or any(map(WIDE.match, odd)) or len(word) < 3 or not re.search("[A-Za-z]", word):
+        return word
+    for read, written in SINGLE_BYTE:
+        raw = to_bytes(word, read)
+        if raw is not None:
+            new = raw.decode(written, "replace")
+            if all(c in HOME and c.isalpha() for c in NON_ASCII.findall(new)) and cost(new) <= cost(word) - 1.2:
+                return new
+    return word
 
 
 def _undo(line: str) -> str:

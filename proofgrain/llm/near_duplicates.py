@@ -224,7 +224,7 @@ def _unpack(data: bytes) -> Iterator[tuple[int, int]]:
 def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, least: float = SIMILARITY) -> DataFrame:
     """a, b, similarity of the pairs whose exact Jaccard similarity is ``least`` or more."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id", "left_semi")
+    texts = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text is not null").join(ids, "doc_id", "left_semi")
     texts = cut(texts)
     sides = (
         pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")

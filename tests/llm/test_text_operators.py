@@ -70,7 +70,7 @@ def test_near_duplicates_equal_brute_force(spark):
     for t in base:
         w = t.split(" ")
         texts += [t, t.upper(), " ".join(w[:40] + ["inserted"] + w[40:]), " ".join(w[60:] + w[:60])]
-    rows = list(enumerate(texts, 1)) + AWKWARD[:4]
+    rows = list(enumerate(texts, 1)) + [(i + 500, t) for i, t in AWKWARD[:4]]
     docs = frame(spark, [(i + 100, t) for i, t in rows])
     links, members = near_duplicates.near_duplicates(docs, "doc_id", "text")
     got = {(r[0], r[1]) for r in near_duplicates.expand(links, members).collect()}
@@ -249,7 +249,11 @@ def test_leakage_equals_brute_force(spark):
     rows = AWKWARD + [(100 + k, f"{prose(k, 30)} {t[: len(t) * part // 10]} {prose(k + 9, 10)}") for k, (_, t) in enumerate(items[:6]) for part in [3 + k]] + [(200, items[0][1].upper())]
     docs, its = frame(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")
     got = {(r["doc_id"], r["item_id"], r["shared"]) for r in leakage.leaks(docs, its, "doc_id", "text", "item_id", "text").collect()}
-    cut = lambda t: {reduced(t)[i: i + 20] for i in range(len(reduced(t)) - 19)}
+
+    def cut(t):
+        r = reduced(t)
+        return {r[i: i + 20] for i in range(len(r) - 19)}
+
     want = {(d, i, len(cut(t) & cut(x))) for d, t in rows if t for i, x in items if x and cut(x) and 2 * len(cut(t) & cut(x)) >= len(cut(x))}
     assert got == want and len(want) >= 4
     assert leakage.leaks(frame(spark, []), its, "doc_id", "text", "item_id", "text").count() == 0
