@@ -32,8 +32,8 @@ SINGLE_BYTE = (
 )
 #: Letters and marks at home in Western European text.
 HOME = set("ÀÂÄÇÉÈÊËÎÏÔÖÙÛÜŒÆàâäçéèêëîïôöùûüœæßáíóúñÁÍÓÚÑ«»“”„‘’‚–—…€£©®°§·•")
-#: Letters of other scripts that look like ASCII letters.
-LOOK_LATIN = set("асеорхуіјѕһԁԛԝАВЕКМНОРСТУХІЈЅοαρνικυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ")
+#: Ligatures, and letters of other scripts that look like ASCII letters.
+LOOK_LATIN = set("ﬁﬂасеорхуіјѕһԁԛԝАВЕКМНОРСТУХІЈЅοαρνικυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ")
 LAYERS = 4
 NON_ASCII = re.compile(r"[^\x00-\x7f]")
 WIDE_RUN = re.compile(r"[^\x00-\x7f]{2,}|[⺀-￯][A-Za-z]?")
