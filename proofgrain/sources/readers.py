@@ -11,7 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
     """id, query, intent, reference, checkpoints of the rows of a Markdown table."""
-    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     return spark.read.text(path).where(F.trim("value").startswith("|")).select(cells.alias("c")).where((F.size("c") >= 5) & F.col("c")[0].rlike(r"^[A-Za-z]?\d+$")).select(
         *[F.col("c")[i].alias(n) for i, n in enumerate(("id", "query", "intent", "reference", "checkpoints"))])
 
