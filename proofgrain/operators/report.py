@@ -22,22 +22,25 @@ def ordered(values: Column, order: Column) -> Column:
 
 def synthesize(scored: DataFrame) -> DataFrame:
     """query_id, findings: the best snippet, an opposing view, sources and confidence."""
-    r = scored.withColumn("rank", F.row_number().over(by_rank()))
-    best = F.min_by(F.struct(strip(filled("snippet")).alias("s"), "weighted"), "rank")
-    worst = F.max_by(F.struct(filled("snippet").alias("s"), "weighted"), "rank")
-    refs = F.filter(ordered(filled("url"), F.struct("pos", "fetch_id")), lambda u: ~F.lower(u).isin("uncertain", "none", ""))
-    g = r.groupBy("query_id").agg(best.alias("b"), worst.alias("w"), F.count(F.lit(1)).alias("n"), refs.alias("refs")).join(confidence(scored), "query_id")
+    place = F.struct((-F.col("weighted")).alias("w"), "pos", "fetch_id")
+    best = F.min_by(F.struct(strip(filled("snippet")).alias("s"), "weighted"), place)
+    worst = F.max_by(F.struct(filled("snippet").alias("s"), "weighted"), place)
+    named = scored.where(~F.lower(filled("url")).isin("uncertain", "none", ""))
+    first = named.withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy("pos", "fetch_id"))).where("_n <= 8")
+    refs = first.groupBy("query_id").agg(ordered(F.col("url"), F.col("_n")).alias("refs"))
+    g = scored.groupBy("query_id").agg(best.alias("b"), worst.alias("w"), F.count(F.lit(1)).alias("n")).join(confidence(scored), "query_id").join(refs, "query_id", "left")
     top = F.when(F.lower(F.col("b.s")).isin(*UNSURE), "（信息不确定）").otherwise(F.col("b.s"))
     opposing = F.when((F.col("n") > 1) & (F.col("w.weighted") < F.col("b.weighted") * F.lit(0.6)), F.concat(F.lit("\n相反观点（低可信源）："), F.substring(F.col("w.s"), 1, 120), F.lit("\n"))).otherwise("")
-    sources = F.when(F.size("refs") > 0, F.concat(F.lit("\n来源：\n"), F.array_join(F.transform(F.slice("refs", 1, 8), lambda u: F.concat(F.lit("- "), u)), "\n"))).otherwise("")
+    sources = F.when(F.size("refs") > 0, F.concat(F.lit("\n来源：\n"), F.array_join(F.transform("refs", lambda u: F.concat(F.lit("- "), u)), "\n"))).otherwise("")
     conf = F.format_string("%.3f", "confidence")
     return g.select("query_id", F.concat(F.lit("先答："), F.substring(top, 1, 300), F.lit("\n"), opposing, sources, F.lit("\n\n置信度："), conf).alias("findings"))
 
 
 def uncertain_section(unsure: DataFrame) -> DataFrame:
     """query_id, section: at most eight lines of uncertain facts."""
-    lines = F.slice(ordered(F.concat(F.lit("- "), F.substring("fact", 1, 120), F.lit("（"), F.col("reason"), F.lit("）")), F.col("fact")), 1, 8)
-    return unsure.groupBy("query_id").agg(F.concat(F.lit("\n未确认项：\n"), F.array_join(lines, "\n")).alias("section"))
+    first = unsure.withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy("fact"))).where("_n <= 8")
+    lines = ordered(F.concat(F.lit("- "), F.substring("fact", 1, 120), F.lit("（"), F.col("reason"), F.lit("）")), F.col("_n"))
+    return first.groupBy("query_id").agg(F.concat(F.lit("\n未确认项：\n"), F.array_join(lines, "\n")).alias("section"))
 
 
 def schema_layout(scored: DataFrame, dimensions: tuple = DIMENSIONS) -> DataFrame:
@@ -46,10 +49,14 @@ def schema_layout(scored: DataFrame, dimensions: tuple = DIMENSIONS) -> DataFram
     dims = spark.createDataFrame([(i, n, lvl, CAPS.get(lvl, 120)) for i, (n, lvl) in enumerate(dimensions)], "dim int, name string, lvl string, cap int").withColumn("g", grams(F.col("name")))
     r = scored.withColumn("rank", F.row_number().over(by_rank())).select("query_id", "rank", filled("snippet").alias("snippet"), filled(either("text", "snippet")).alias("t"))
     pairs = r.join(F.broadcast(dims)).withColumn("match", F.exists("g", lambda x: F.col("t").contains(x)))
+    # at most two matching and three leading sources of a dimension are gathered
+    seen = pairs.groupBy("query_id", "dim", "name", "lvl").agg(F.max("match").alias("matched"))
     w = W.partitionBy("query_id", "dim").orderBy("rank")
-    hit_rank = F.when(F.col("match"), F.sum(F.col("match").cast("int")).over(w))
+    two = pairs.where("match").withColumn("_n", F.row_number().over(w)).where("_n <= 2").select("query_id", "dim", "rank", "snippet", "cap", F.lit(True).alias("hit"))
+    three = pairs.where("rank <= 3").select("query_id", "dim", "rank", "snippet", "cap", F.lit(False).alias("hit"))
     line = lambda cond: F.array_join(F.filter(ordered(F.when(cond & (F.col("snippet") != ""), F.concat(F.lit("- "), F.expr("substring(snippet, 1, cap)"), F.lit("\n"))), F.col("rank")), lambda x: x.isNotNull()), "")
-    g = pairs.withColumn("hit", hit_rank).groupBy("query_id", "dim", "name", "lvl").agg(F.max("match").alias("matched"), line(F.col("hit") <= 2).alias("body"), line(F.col("rank") <= 3).alias("all3"))
+    shown = two.union(three).groupBy("query_id", "dim").agg(line(F.col("hit")).alias("body"), line(~F.col("hit")).alias("all3"))
+    g = seen.join(shown, ["query_id", "dim"])
     any_hit = F.max("matched").over(W.partitionBy("query_id"))
     body = (F.when(F.col("matched"), F.col("body")).when(F.col("any") , "（该维度暂无直接来源）\n").when(F.col("dim") == 0, F.col("all3")).otherwise("（综合来源见首节；本维度按此框架组织结论）\n"))
     s = g.withColumn("any", any_hit).select("query_id", "dim", F.concat(F.lit("## "), "name", F.lit("（"), "lvl", F.lit("）\n"), body).alias("section"))

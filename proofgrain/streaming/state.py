@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -66,21 +67,27 @@ def throttle_waits(times: list[float], interval: float, most: float = 5.0) -> li
 
 
 def throttle(events: DataFrame, key: str, ts: str, tie: str, interval: float) -> DataFrame:
-    """key, tie, wait of every row: a fold over the key's sorted times.
+    """key, tie, wait of every row: a fold over the key's rows in order of time.
 
-    The fold runs over one array a key on the JVM; keys are hosts, whose request
-    rate the throttle itself bounds.
+    Rows come to a key's task sorted and are streamed, so a task holds the state
+    of one key whatever its number of rows.
     """
-    t = F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6)
-    arr = F.array_sort(F.collect_list(F.struct(t.alias("t"), F.col(tie).alias("id"))))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.expr("cast(array() as array<struct<id:bigint,wait:double>>)").alias("out"))
-
-    def step(a, x):
-        wait = F.when(a["last"].isNull(), F.lit(0.0)).otherwise(F.least(F.greatest(F.lit(interval) - (x["t"] - a["last"]), F.lit(0.0)), F.lit(5.0)))
-        return F.struct((x["t"] + wait).alias("last"), F.array_append(a["out"], F.struct(x["id"].cast("bigint").alias("id"), wait.alias("wait"))).alias("out"))
-
-    g = events.groupBy(key).agg(arr.alias("a")).select(key, F.explode(F.aggregate("a", start, step)["out"]).alias("o"))
-    return g.select(key, F.col("o.id").alias(tie), F.col("o.wait").alias("wait"))
+    rows = events.select(F.col(key).cast("bigint").alias("k"), (F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6)).alias("t"), F.col(tie).cast("bigint").alias("i"))
+
+    def run(batches):
+        key, last = None, None
+        for b in batches:
+            waits = []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if k != key:
+                    key, last = k, None
+                wait = 0.0 if last is None else min(max(interval - (t - last), 0.0), 5.0)
+                waits.append(wait)
+                last = t + wait
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(waits, pa.float64())], names=["k", "i", "wait"])
+
+    placed = rows.where("t is not null").repartition("k").sortWithinPartitions("k", "t", "i")
+    return placed.mapInArrow(run, "k bigint, i bigint, wait double").select(F.col("k").alias(key), F.col("i").alias(tie), "wait")
 
 
 def append_report(batch: DataFrame, path: str) -> None:
