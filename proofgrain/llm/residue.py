@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofgrain.llm._shared import map_columns
+from proofgrain.llm._shared import cut, map_columns
 from proofgrain.llm.mojibake import repair
 
 TRUSTED = 1500
@@ -207,11 +207,11 @@ def gather(frames: list[DataFrame]) -> Model:
     every = None
     for f in frames:
         every = f.toDF("text") if every is None else every.union(f.toDF("text"))
-    sample = every.where("text is not null").mapInArrow(run, "kind string, h bigint, words string").dropDuplicates(["kind", "h"])
+    sample = cut(every.where("text is not null").mapInArrow(run, "kind string, h bigint, words string")).dropDuplicates(["kind", "h"])
     trusted, unlabelled = [], []
     for kind in (*CLASSES[1:], ""):
-        rows = sample.where(F.col("kind") == kind).orderBy("h").limit(TRUSTED if kind else UNLABELLED)
-        rows = rows.collect()  # bounded by the two parameters
+        # the least are found on the executors; only they, bounded by the two parameters, come to the driver
+        rows = cut(sample.where(F.col("kind") == kind).orderBy("h").limit(TRUSTED if kind else UNLABELLED)).collect()
         for r in rows:
             words = [w.replace("\x1f", " ") for w in r["words"].split(" ")]
             (trusted.append((kind, words)) if kind else unlabelled.append(words))

@@ -38,7 +38,7 @@ PREFIX = 64
 FULL_LINE_DOCS, LAST_LINE_DOCS, LAST_LINE_SHARE = 2, 5, 0.05
 PLAIN_FROM, PLAIN_TO = "".join(SINGLE) + FULL_WIDTH, "".join(SINGLE.values()) + ASCII
 #: Rows of candidates (a long each) that are broadcast.
-MAX_BROADCAST = 4_000_000
+MAX_BROADCAST = 1_000_000
 OMISSION = re.compile(r"\s*(?:…+|\.{3,}|\[\s*(?:…|\.{3})\s*\]|\(\s*(?:…|\.{3})\s*\))\s*$")
 FINISHED = re.compile(r"[.!?。！？][”\"»“’')\]）」』\s]*$")
 #: A full stop that may not end a sentence: after a digit, an initial or an abbreviation.
