@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from proofgrain.functions.finance import fmt_field, fmt_yuan
 from proofgrain.functions.text import rounded
 
 
@@ -60,3 +61,24 @@ def daily_bars(lines: DataFrame) -> DataFrame:
 def change_pct(bars: DataFrame) -> DataFrame:
     prev = F.lag("close").over(W.partitionBy("code").orderBy("day"))
     return bars.withColumn("change_pct", rounded((F.col("close") - prev) / prev * F.lit(100.0), 2))
+
+
+def quote_text(quotes: DataFrame) -> DataFrame:
+    """code, text of quotes (code, name, f43, f60, f168, f170, f116, klines, flows): prices and turnover are hundredths."""
+    def tail(lines: str, n: int, least: int, made) -> Column:
+        cut = F.filter(F.transform(F.slice(F.col(lines), F.greatest(F.lit(1), F.size(lines) - (n - 1)), F.lit(n)), lambda x: F.split(x, ",")), lambda p: F.size(p) >= least)
+        return F.when(F.size(cut) > 0, F.array_join(F.transform(cut, made), "\n")).otherwise("（无）")
+
+    bars = tail("klines", 10, 11, lambda p: F.concat(p[0], F.lit(" 收"), p[2], F.lit(" 涨跌幅"), p[8], F.lit("% 换手"), p[10], F.lit("%")))
+    flows = tail("flows", 5, 7, lambda p: F.concat(p[0], F.lit(" 主力净流入"), p[1]))
+    head = F.concat(F.lit("最新价: "), fmt_field(F.col("f43"), 100.0, " 元"), F.lit("  昨收: "), fmt_field(F.col("f60"), 100.0, " 元"), F.lit("  换手: "), fmt_field(F.col("f168"), 100.0, "%"),
+                    F.lit("  市盈率TTM: "), fmt_field(F.col("f170")), F.lit("  总市值: "), fmt_field(F.col("f116")))
+    return quotes.select("code", F.concat_ws("\n", F.concat(F.lit("# 行情："), "name", F.lit("("), "code", F.lit(")")), head, F.lit("## 近半年日K（末10交易日）"), bars, F.lit("## 主力资金流（末5交易日）"), flows).alias("text"))
+
+
+def report_text(reports: DataFrame) -> DataFrame:
+    """code, text of report rows (code, day, revenue, growth): the latest period, then up to five years, newest first."""
+    line = F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit(" 营业收入 "), fmt_yuan(F.col("revenue")), F.lit(" 同比 "), fmt_field(F.col("growth"), 1.0, "%"))
+    newest = latest(reports, "code", ["day"], 1).select("code", F.concat(F.lit("最新报告期 "), line).alias("head"))
+    years = annual(reports, "code", "day", "day").select("code", F.struct("rn", line.alias("l")).alias("x")).groupBy("code").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["l"]), "\n").alias("years"))
+    return newest.join(years, "code", "left").select("code", F.concat_ws("\n", "head", "years").alias("text"))
