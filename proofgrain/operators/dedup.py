@@ -41,30 +41,31 @@ def near_dup(docs: DataFrame, part: str, ident: str, threshold: int = 3) -> Data
     its address or a fingerprint that shares a block and differs in ``threshold`` bits or less.
 
     That is the first maximal independent set of the conflict graph by order.
-    Edges run between documents by address and between fingerprints; rounds
-    decide all documents whose earlier neighbours are decided.
+    Pairs exist between distinct fingerprints only; documents meet by the least
+    undecided place of their address and of their fingerprint's neighbours, so an
+    address or fingerprint that very many share costs its rows, not their pairs.
+    A round keeps every document without an undecided neighbour before it, and
+    drops the neighbours of those.
     """
-    fp = fingerprints(docs, part, ident).withColumn("ord", F.struct("pos", "id"))
-    fp = cut(fp)
+    fp = cut(fingerprints(docs, part, ident).withColumn("ord", F.struct("pos", "id")))
     near = candidate_pairs(fp, threshold)
-    same = fp.select("part", "h").distinct().select("part", "h", F.col("h").alias("h2"))
-    links = near.union(near.select("part", F.col("h2").alias("h"), F.col("h").alias("h2"))).union(same)
-    a = fp.select("part", F.col("id").alias("a"), F.col("ord").alias("oa"), "h", F.col("url").alias("ua"))
-    b = fp.select("part", F.col("id").alias("b"), F.col("ord").alias("ob"), F.col("h").alias("h2"), F.col("url").alias("ub"))
-    by_hash = a.join(links, ["part", "h"]).join(b, ["part", "h2"]).where(F.col("oa") < F.col("ob")).select("part", "a", "b")
-    by_url = a.where(F.length("ua") > 0).join(b.withColumnRenamed("ub", "ua"), ["part", "ua"]).where(F.col("oa") < F.col("ob")).select("part", "a", "b")
-    edges = cut(by_hash.union(by_url).distinct())
-    undecided = cut(edges.select("part", F.col("a").alias("id")).union(edges.select("part", "b")).distinct())
-    kept = fp.select("part", "id").join(undecided, ["part", "id"], "left_anti")
+    same = fp.select("part", "h", F.col("h").alias("h2")).distinct()
+    links = cut(near.union(near.select("part", F.col("h2").alias("h"), F.col("h").alias("h2"))).union(same))
+    undecided, kept = fp.select("part", "id", "ord", "h", F.when(F.length("url") > 0, F.col("url")).alias("url")), None
+
+    def least(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """By fingerprint, the least place among its neighbours in ``rows``; by address, the least place."""
+        by_hash = rows.groupBy("part", F.col("h").alias("h2")).agg(F.min("ord").alias("m"))
+        around = links.join(by_hash, ["part", "h2"]).groupBy("part", "h").agg(F.min("m").alias("mh"))
+        return around, rows.where("url is not null").groupBy("part", "url").agg(F.min("ord").alias("mu"))
+
     while True:
-        blocked = edges.select("part", F.col("b").alias("id")).distinct()
-        keep = undecided.join(blocked, ["part", "id"], "left_anti")
-        drop = edges.join(keep.select("part", F.col("id").alias("a")), ["part", "a"], "left_semi").select("part", F.col("b").alias("id")).distinct()
-        keep, drop = cut(keep), cut(drop)
-        kept = kept.union(keep)
-        gone = keep.union(drop)
-        undecided = cut(undecided.join(gone, ["part", "id"], "left_anti"))
+        around, by_url = least(undecided)
+        state = undecided.join(around, ["part", "h"], "left").join(by_url, ["part", "url"], "left")
+        keep = cut(state.where((F.col("ord") <= F.col("mh")) & (F.col("mu").isNull() | (F.col("ord") <= F.col("mu")))).select("part", "id", "ord", "h", "url"))
+        kept = keep.select("part", "id") if kept is None else kept.union(keep.select("part", "id"))
+        around, by_url = least(keep)
+        rest = undecided.join(around, ["part", "h"], "left").join(by_url, ["part", "url"], "left").where("mh is null and mu is null")
+        undecided = cut(rest.select("part", "id", "ord", "h", "url"))
         if not undecided.limit(1).count():
             return kept
-        edges = edges.join(gone.select("part", F.col("id").alias("a")), ["part", "a"], "left_anti").join(gone.select("part", F.col("id").alias("b")), ["part", "b"], "left_anti")
-        edges = cut(edges)
