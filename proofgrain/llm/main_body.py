@@ -8,12 +8,15 @@ same form (numbers, names and the site's name masked) are aligned over the whole
 corpus. Nodes that stay constant become template, slots that vary become content:
 
 * a container of links, or of signed and dated comments, is template;
-* a block whose form recurs alone in containers of its own is constant;
+* a block whose form recurs alone in containers of its own, on different pages
+  of a host or of several hosts, is constant;
 * a container with enough varying blocks is content, and a labelled slot goes
   with what most of its blocks in the host are.
 
 Aligning by label path gives the matching that simple tree matching finds for
-labelled nodes, without matching pages in pairs; counts cover all pages.
+labelled nodes, without matching pages in pairs; counts cover all pages. How
+often a form recurs is counted in different pages (host and HTML), so a page
+delivered again under another id is no evidence for its own text.
 
 Lines of pages without HTML (or not found in it) are judged by what their form
 is elsewhere, by the page's title, and by the lines around them. Rows with null
@@ -36,8 +39,8 @@ from proofgrain.llm._shared import cut, map_columns
 VARYING_SHARE = 0.3
 #: A form recurs if it stands on such a share of a host's pages, or of all pages.
 HOST_SHARE, CORPUS_SHARE = 0.02, 0.004
-#: A form is constant if it stands alone in containers of its own at least so often.
-CONSTANT_TIMES = 2
+#: A form is constant if it stands alone in containers of its own on at least so many pages, and such a share of all pages, of several hosts.
+CONSTANT_TIMES, CONSTANT_SHARE = 2, 0.0002
 TAG = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<(/?)([a-zA-Z][\w\-]*)([^<>]*)>|([^<]+)", re.S | re.I)
 ATTR = re.compile(r"(class|id|style|hidden)\s*(?:=\s*[\"']([^\"']*)[\"'])?", re.I)
 # HTML element kinds.
@@ -168,8 +171,8 @@ def squeeze(line: str) -> str:
 def page_blocks(fetch_id: int, url: str | None, source: str | None, title: str | None, text: str | None) -> list[tuple]:
     """Rows of a page: its HTML blocks with the text line each stands for, and lines without a block.
 
-    (fetch_id, host, cont, label, form, line_no, kind, single, words): kind is
-    link, comment, hidden, body (headings, list entries, rows, quotes), plain,
+    (fetch_id, host, page, cont, label, form, line_no, kind, single, words): page
+    is the hash of the HTML; kind is link, comment, hidden, body (headings, list entries, rows, quotes), plain,
     or line (a text line without a block).
     """
     site, host = site_of(url), host_of(url)
@@ -180,6 +183,7 @@ def page_blocks(fetch_id: int, url: str | None, source: str | None, title: str |
             where.setdefault(squeeze(line), []).append(n)
     out, found = [], set()
     at = 0
+    page = xxhash.xxh64_intdigest((source or "").encode("utf-8", "replace")) - (1 << 63)
     if source:
         for c, (label, blocks) in enumerate(containers(parse(source))):
             for tag, t, linked, hidden in blocks:
@@ -191,17 +195,17 @@ def page_blocks(fetch_id: int, url: str | None, source: str | None, title: str |
                         found.add(line_no)
                         at = line_no
                 kind = "hidden" if hidden else "link" if linked else "comment" if COMMENT.match(t) else "link" if POINTER.match(t) else "body" if tag in BODYLIKE else "plain"
-                out.append((fetch_id, host, c, label, form(t, site), line_no, kind, len(blocks) == 1, len(t)))
+                out.append((fetch_id, host, page, c, label, form(t, site), line_no, kind, len(blocks) == 1, len(t)))
     want = squeeze(title) if title else None
     for t, spots in where.items():
         for n in spots:
             if n not in found:
                 kind = "comment" if COMMENT.match(t) else "crumb" if POINTER.match(t) else "title" if t == want else "crumb" if want and t.endswith(want) else "row" if t.count(" | ") >= 2 and re.search(r"\d", t) else "prose" if SENTENCE.search(t) else "short"
-                out.append((fetch_id, host, -1, None, form(t, site), n, kind, False, len(t.encode("utf-8"))))
+                out.append((fetch_id, host, page, -1, None, form(t, site), n, kind, False, len(t.encode("utf-8"))))
     return out
 
 
-DDL = "fetch_id bigint, host string, cont int, label string, form bigint, line_no bigint, kind string, single boolean, words int"
+DDL = "fetch_id bigint, host string, page bigint, cont int, label string, form bigint, line_no bigint, kind string, single boolean, words int"
 
 
 def classified(pages: DataFrame, key: str, url: str, source: str, title: str, text: str) -> DataFrame:
@@ -216,16 +220,27 @@ def classified(pages: DataFrame, key: str, url: str, source: str, title: str, te
     inside = rows.where("cont >= 0")
     # what each form is over the whole corpus
     unlinked = inside.where("kind in ('plain', 'body')")
-    forms = unlinked.where("kind = 'plain'").groupBy("form").agg(F.count_if("single").alias("alone"), F.count_if(~F.col("single")).alias("among"))
-    constant = forms.where((F.col("alone") >= CONSTANT_TIMES) & (F.col("alone") > F.col("among"))).select("form", F.lit(True).alias("constant"))
-    # in a container of several blocks, forms that recur in few words over the host's pages are constant too
-    host_pages = inside.groupBy("host").agg(F.count_distinct("fetch_id").alias("pages"))
-    repeated = (
-        unlinked.where("kind = 'plain' and not single").groupBy("host", "form").agg(F.count_distinct("fetch_id").alias("n")).where("n >= 3")
-        .join(host_pages, "host").where(F.col("n") >= F.greatest(F.lit(3), HOST_SHARE * F.col("pages"))).select("host", "form", F.lit(True).alias("repeated"))
+    # pages a form is on: a page counts once, however often it was delivered
+    by_page = unlinked.where("kind = 'plain'").groupBy("form", "host", "page").agg(F.max("single").alias("alone"), F.max(~F.col("single")).alias("among"))
+    by_host = by_page.groupBy("form", "host").agg(F.count_if("alone").alias("alone"), F.count_if("among").alias("among"))
+    pages_seen = inside.select("host", "page").distinct()
+    host_pages = pages_seen.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    pages_n = pages_seen.agg(F.count(F.lit(1)).alias("all_pages"))
+
+    def often(n: str) -> DataFrame:
+        """host, form: on a share of the host's pages."""
+        return by_host.where(F.col(n) >= 3).join(host_pages, "host").where(F.col(n) >= F.greatest(F.lit(3), HOST_SHARE * F.col("pages"))).select("host", "form")
+
+    forms = by_host.groupBy("form").agg(F.sum("alone").alias("alone"), F.sum("among").alias("among"), F.count_if(F.col("alone") > 0).alias("hosts")).where("alone + among >= 2")
+    forms = forms.join(F.broadcast(pages_n))
+    spread = (F.col("hosts") >= 2) & (F.col("alone") >= F.greatest(F.lit(CONSTANT_TIMES), CONSTANT_SHARE * F.col("all_pages")))
+    constant = (
+        forms.where(F.col("alone") > F.col("among")).join(often("alone").select("form", F.lit(True).alias("often")).distinct(), "form", "left")
+        .where(spread | F.col("often").isNotNull()).select("form", F.lit(True).alias("constant"))
     )
-    pages_n = inside.select("fetch_id").distinct().agg(F.count(F.lit(1)).alias("all_pages"))
-    common = unlinked.where("kind = 'plain' and not single").groupBy("form").agg(F.count(F.lit(1)).alias("m")).where("m >= 8").join(F.broadcast(pages_n)).where(F.col("m") >= CORPUS_SHARE * F.col("all_pages")).select("form", F.lit(True).alias("common"))
+    # in a container of several blocks, forms that recur in few words over the host's pages are constant too
+    repeated = often("among").withColumn("repeated", F.lit(True))
+    common = forms.where((F.col("among") >= 8) & (F.col("among") >= CORPUS_SHARE * F.col("all_pages"))).select("form", F.lit(True).alias("common"))
     joined = inside.join(constant, "form", "left").join(repeated, ["host", "form"], "left").join(common, "form", "left")
     varying = F.when(F.col("kind") == "body", True).when(F.col("kind") != "plain", False).when(F.col("single"), F.col("constant").isNull()).otherwise(F.col("repeated").isNull() & F.col("constant").isNull() & F.col("common").isNull())
     marked = cut(joined.withColumn("varying", varying).select("fetch_id", "host", "cont", "label", "form", "line_no", "kind", "varying", "single", "words"))

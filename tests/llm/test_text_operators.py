@@ -129,6 +129,19 @@ def test_main_body_of_pages(spark):
     assert main_body.main_text(df, "fetch_id", "url", "raw_html", "title", "text").count() == len(rows)
 
 
+def test_a_page_delivered_again_is_no_evidence_for_its_text(spark):
+    page = '<html><body><div class="bar"><p>This site uses cookies.</p></div><div><p>{p}</p></div><div class="ad"><p>{q}</p></div></body></html>'
+    rows, first = [], 0
+    for n in range(1, 13):
+        p, q = prose(n, 24), prose(n + 300, 18)
+        for _ in range(9 if n <= 2 else 1):  # two pages come nine times each
+            first += 1
+            rows.append((first, f"https://site{n % 3}.example/{n}", page.format(p=p, q=q), "T", f"This site uses cookies.\n{p}"))
+    df = spark.createDataFrame(rows, "fetch_id bigint, url string, raw_html string, title string, text string")
+    got = {(r["fetch_id"], r["line_no"]): r["main"] for r in main_body.classified(df, "fetch_id", "url", "raw_html", "title", "text").collect()}
+    assert got == {(r[0], n): n == 2 for r in rows for n in (1, 2)}
+
+
 def test_parse_survives_broken_html():
     for h in ("<", "<div><p>a</div></p>b", "<script>x</script", "<table><tr><td>1<td>2</table>", "<a href='x'>t"):
         main_body.containers(main_body.parse(h))
