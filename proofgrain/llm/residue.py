@@ -3,10 +3,17 @@
 A naive Bayes model with four classes (content, placeholder, filler, notice) is
 learned from positives and unlabelled passages by expectation-maximization:
 passages that match a trusted form keep their class, the unlabelled ones start
-as content and take the class weights the model gives them in each round. The
+as content and take the class weights the model gives them in each round, those
+of filler and notices where they have their general form. The
 model then scores passages (a line; the words around a placeholder; the whole
-field for notices), an exact check of form follows, and a field is a case if
-one passage holds a placeholder or is filler, or if all of it is a notice.
+field, of any length, for notices) and its odds decide: the trusted forms are
+seeds, not the bound of what is found. A check of general form follows, which
+knows no phrases: most words speak for the class, no sentence of a notice speaks
+for content, nothing is quoted. A field is a case if one passage holds a
+placeholder or is filler, or if all of it is a notice.
+
+Probabilities of words are mixed with those of the whole sample (BACKGROUND), so
+a word that was never seen, as in garbled text, speaks for no class.
 
 The model is fitted on a bounded sample (TRUSTED passages a class and UNLABELLED
 others, those of least hash, so the same rows give the same model); every field
@@ -34,11 +41,22 @@ ROUNDS = 6
 CLASSES = ("content", "placeholder", "filler", "notice")
 #: Characters and words on either side of a placeholder that make its passage.
 WINDOW, NEAR = 60, 3
+#: Characters of a field that is learned from as a whole (bounds the sample; fields of any length are scored).
 LONGEST_NOTICE = 400
+#: Share of the whole sample in a word's probability.
+BACKGROUND = 0.1
+#: Log odds from which a word speaks for a class; odds of a class whose form an unlabelled passage hasn't.
+SPEAKS, NEVER = 1.0, -50.0
+#: Share of the words that speak for a notice, for filler.
+NOTICE_SHARE, FILLER_SHARE = 0.6, 0.7
 
 PLACEHOLDER = re.compile(
     r"\{\{[^{}\n]{1,40}\}\}|\{%[^%{}\n]{1,40}%\}|<%=?[^%<>\n]{1,40}%>|[$#]\{[^{}\n]{1,40}\}|%%[A-Za-z_.]{2,40}%%|(?<![\w%])%[A-Z_]{3,40}%(?![\w%])"
     r"|\[\[[^\[\]\n]{1,40}\]\]|\[INSERT [^\[\]\n]{1,40}\]|__[A-Z][A-Z_]{1,40}__|(?<![\w{])\{[A-Za-z_.]{2,40}\}(?!\})|<[a-z]+[._][a-z_.]+>|<(?:city|author|title|summary|product|amount|name|date|user|company)>")
+#: Marks of the general form of a placeholder, whatever they hold; the model's odds decide.
+MARK = re.compile(PLACEHOLDER.pattern + r"|(?<!\{)\{[A-Za-z0-9](?:[\w .\-]{0,38}\w)?\}(?!\})|\[[A-Z][A-Z_ .\-]{2,40}\]|<[A-Z][A-Z_ .\-]{2,40}>|<[a-z]+(?:[_.\-][a-z]+)+>|@@[\w. \-]{1,40}@@|##?[A-Z_]{3,40}##?|%\([A-Za-z_.]{2,40}\)[sdf]", re.A)
+SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n")
+QUOTE = re.compile(r"[“”„«»「」『』\"]")
 QUOTED = re.compile(r"[“„«‘\"'`(（「Ñâ]\s?$"), re.compile(r"^\s?[”“»’\"'`)）」ì]")
 # Words of texts that speak about placeholders.
 ABOUT = re.compile(r"template|placeholder|render|marker|\bmark\b|platzhalter|vorlage|ersetzt|gabarit|modèle de page|balise|remplac|模板|占位符|标记|渲染", re.I)
@@ -80,27 +98,32 @@ def tokens(text: str) -> list[str]:
     return out
 
 
-def marks(text: str) -> Iterator[tuple[list[str], str, bool]]:
-    """(tokens, words around it, open) of each placeholder; open: not set in quotes."""
-    if not PLACEHOLDER.search(text):
+def marks(text: str) -> Iterator[tuple[list[str], str, bool, bool]]:
+    """(tokens, words around it, open, trusted) of each mark; open: not set in quotes; trusted: in a known form."""
+    if not MARK.search(text):
         return
     text = repair(text)[0]  # quotes and words around it may be garbled
-    for m in PLACEHOLDER.finditer(text):
+    for m in MARK.finditer(text):
         before, after = text[max(0, m.start() - WINDOW): m.start()], text[m.end(): m.end() + WINDOW]
         opened = not (QUOTED[0].search(before) and QUOTED[1].search(after))
         form = re.sub(r"[^{}$#%<>\[\]=]+", "x", m.group())
         near = [f"~{w}" for w in [*tokens(before)[-NEAR:], *tokens(after)[:NEAR]]]
-        yield ["=open", f"={form}", *near] if opened else ["=quoted", *near], f"{before} {after}", opened
+        yield ["=open", f"={form}", *near] if opened else ["=quoted", *near], f"{before} {after}", opened, bool(PLACEHOLDER.fullmatch(m.group()))
 
 
 def body(text: str) -> list[str]:
     """The lines that aren't blank, without a first line that is a site's name only."""
     lines = [x for x in map(str.strip, text.split("\n")) if x]
-    if len(lines) > 1 and len(lines[0]) <= 40 and len(lines[0].split()) <= 2 and not re.search(r"[\d.!?。！？：:,，]", lines[0]) and not is_notice(lines[0]) and is_notice("\n".join(lines[1:])):
+    if site_line(lines) and not is_notice(lines[0]) and is_notice("\n".join(lines[1:])):
         return lines[1:]
     return lines
 
 
+def site_line(lines: list[str]) -> bool:
+    """Whether the first line may be a site's name only."""
+    return len(lines) > 1 and len(lines[0]) <= 40 and len(lines[0].split()) <= 2 and not re.search(r"[\d.!?。！？：:,，]", lines[0])
+
+
 def is_notice(text: str) -> bool:
     return bool(NOTICE.fullmatch(re.sub(r"\d+", "0", text.strip().lower())))
 
@@ -118,8 +141,8 @@ def passages(text: str) -> Iterator[tuple[str, list[str] | str]]:
             yield "filler", ["=line", *tokens(line)]
         else:
             yield "", line
-        for words, around, opened in marks(line):
-            yield ("placeholder" if opened and not ABOUT.search(around) else ""), words
+        for words, around, opened, trusted in marks(line):
+            yield ("placeholder" if trusted and opened and not ABOUT.search(around) else ""), words
 
 
 LEXICON = set(
@@ -142,6 +165,7 @@ class Model:
 
     def __init__(self, prior: dict[str, float], weights: dict[str, tuple[float, float, float]], unseen: tuple[float, float, float]):
         self.prior, self.weights, self.unseen = prior, weights, unseen
+        self._speaking: dict[int, frozenset[str]] = {}
 
     def score(self, words: list[str]) -> tuple[float, float, float]:
         """Log odds of placeholder, filler, notice against content."""
@@ -154,6 +178,28 @@ class Model:
             c += z
         return a, b, c
 
+    def speaking(self, at: int) -> frozenset[str]:
+        """The words that speak for a class (0 placeholder, 1 filler, 2 notice) more than for content."""
+        if at not in self._speaking:
+            self._speaking[at] = frozenset(w for w, x in self.weights.items() if x[at] > SPEAKS and w[0] not in "=~")
+        return self._speaking[at]
+
+    def share(self, words: list[str], at: int) -> float:
+        return sum(map(self.speaking(at).__contains__, words)) / len(words) if words else 0.0
+
+    def notice(self, lines: list[str]) -> float | None:
+        """Odds of a field that has the general form of a notice: no sentence speaks for content, most words for a notice, none is quoted."""
+        words = []
+        for line in lines:
+            for sentence in SENTENCES.split(line):
+                t = tokens(sentence)
+                if sum(self.weights[w][2] for w in t if w in self.weights) < 0:
+                    return None
+                words += t
+        whole = list(dict.fromkeys(["=whole", *words]))
+        odds = self.score(whole)[2]
+        return odds if odds > 0 and self.share(words, 2) >= NOTICE_SHARE and not any(map(QUOTE.search, lines)) else None
+
 
 def fit(trusted: list[tuple[str, list[str]]], unlabelled: list[list[str]], rounds: int = ROUNDS) -> Model:
     """Expectation-maximization from trusted positives and unlabelled passages."""
@@ -171,14 +217,17 @@ def fit(trusted: list[tuple[str, list[str]]], unlabelled: list[list[str]], round
                     ck = counts[k]
                     for w in t:
                         ck[w] = ck.get(w, 0.0) + p
-        size = {k: sum(counts[k].values()) + 0.5 * len(vocabulary) for k in CLASSES}
-        base = {k: math.log(0.5 / size[k]) for k in CLASSES}
-        log = lambda k, w: math.log((counts[k].get(w, 0.0) + 0.5) / size[k])
+        size = {k: sum(counts[k].values()) or 1.0 for k in CLASSES}
+        total = sum(sum(c.values()) for c in counts.values()) or 1.0
+        ground = {w: BACKGROUND * sum(counts[k].get(w, 0.0) for k in CLASSES) / total + 1e-12 for w in vocabulary}
+        log = lambda k, w: math.log((1 - BACKGROUND) * counts[k].get(w, 0.0) / size[k] + ground[w])
         weights = {w: tuple(log(k, w) - log("content", w) for k in CLASSES[1:]) for w in vocabulary}
-        model = Model({k: math.log(mass[k] / mass["content"]) for k in CLASSES}, weights, tuple(base[k] - base["content"] for k in CLASSES[1:]))
+        model = Model({k: math.log(mass[k] / mass["content"]) for k in CLASSES}, weights, (0.0, 0.0, 0.0))
         for i, (t, _, fixed) in enumerate(data):
             if not fixed:
-                odds = (0.0, *model.score(list(t)))
+                words = [w for w in t if w[0] not in "=~"]
+                form = (True, model.share(words, 1) > FILLER_SHARE, model.share(words, 2) >= NOTICE_SHARE and "=whole" in t)
+                odds = (0.0, *(o if f else NEVER for o, f in zip(model.score(list(t)), form)))
                 top = max(odds)
                 e = [math.exp(o - top) for o in odds]
                 data[i] = (t, dict(zip(CLASSES, (x / sum(e) for x in e))), False)
@@ -226,18 +275,24 @@ def decide(text: str | None, model: Model) -> tuple[str, float] | None:
     if not lines:
         return None
     whole = "\n".join(lines)
-    if len(whole) <= LONGEST_NOTICE:
+    if is_notice(whole):
         odds = model.score(list(dict.fromkeys(["=whole", *tokens(whole)])))[2]
-        if odds > 0 and is_notice(whole):
+        if odds > 0:
             return "notice", odds
+    odds = model.notice(lines)
+    if odds is None and site_line(lines):
+        odds = model.notice(lines[1:])
+    if odds is not None:
+        return "notice", odds
     for line in lines:
-        for words, around, opened in marks(line):
+        for words, around, opened, _ in marks(line):
             odds = model.score(list(dict.fromkeys(words)))[0]
             if odds > 0 and opened and not ABOUT.search(around):
                 return "placeholder", odds
-        if SIGNS.search(line.lower()):
-            odds = model.score(list(dict.fromkeys(["=line", *tokens(line)])))[1]
-            if odds > 0 and _ratio(line) > 0.7:
+        words = tokens(line)
+        if model.share(words, 1) > FILLER_SHARE and not QUOTE.search(line) or SIGNS.search(line.lower()) and _ratio(line) > FILLER_SHARE:
+            odds = model.score(list(dict.fromkeys(["=line", *words])))[1]
+            if odds > 0:
                 return "filler", odds
     return None
 
@@ -247,7 +302,7 @@ def has_form(text: str) -> bool:
     lines = body(text)
     whole = "\n".join(lines)
     return (len(whole) <= LONGEST_NOTICE and is_notice(whole)) or any(
-        SIGNS.search(x.lower()) and _ratio(x) > 0.7 or any(o and not ABOUT.search(a) for _, a, o in marks(x)) for x in lines)
+        SIGNS.search(x.lower()) and _ratio(x) > 0.7 or any(o and known and not ABOUT.search(a) for _, a, o, known in marks(x)) for x in lines)
 
 
 def residue(df: DataFrame, tbl: str, key: str, fields: list[str], model: Model) -> DataFrame:

@@ -241,6 +241,21 @@ def test_residue(spark):
     assert got == want
 
 
+def test_residue_beyond_the_seed_phrases(spark):
+    seeds = ["Access denied", "404 Not Found", "Error 503: the service is unavailable. Try again later.", "The page you asked for was not found.", "Please enable JavaScript to go on.", "Untitled page",
+             "Just a moment…", "Your session has expired. Log in again to go on."]
+    other = ["Access to the page was denied. Error 1020.", "The service is unavailable. Enable JavaScript, log in again. " * 9, "Page not found: error 404"]
+    filler = [f"Lorem ipsum dolor sit amet {a} {b} magna aliqua" for a, b in itertools.permutations(["tempor", "labore", "veniam", "nostrud"], 2)]
+    holders = [f"In {m} the group reported {m} million in 2023." for m in ("{{amount}}", "{{city}}", "${city}", "{{year}}")]
+    new = "In [CITY NAME] the group reported @@amount@@ million in 2023."
+    content = [f"{prose(s, 30)}\n{prose(s + 500, 20)}" for s in range(60)] + ["How a site halved its 404 errors", "The notice “Access to the page was denied” made readers leave.", "Access was denied to the auditors of the ledger. " + prose(3, 30)]
+    rows = list(enumerate([*seeds * 2, *filler, *holders * 3, *other, new, *content]))
+    df = frame(spark, rows)
+    got = {r["row_id"]: r["kind"] for r in residue.residue(df, "documents", "doc_id", ["text"], residue.gather([df.select("text")])).collect()}
+    assert not any(residue.is_notice(t) for t in other)
+    assert got == {i: "filler" if t in filler else "placeholder" if t in holders or t == new else "notice" for i, t in rows if t not in content}
+
+
 # 8 tokens
 @pytest.mark.skipif(not __import__("os").path.exists(tokens.DEFAULT_VOCABULARY), reason="no vocabulary here")
 def test_tokens_equal_exact_merging(spark):
