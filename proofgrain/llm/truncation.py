@@ -5,8 +5,9 @@ Three kinds of evidence decide whether a text was cut:
 * its end: it breaks off without the end of a sentence (an omission mark at the
   end doesn't count as one);
 * lines of the corpus: a last line that stands elsewhere as a line with others
-  after it, or ends a good part of a source's documents, is a full line (notice,
-  byline, label), so the text isn't cut there;
+  after it, or ends a good part of a source's different texts, is a full line
+  (notice, byline, label), so the text isn't cut there; texts are different if
+  what stands before their last line is, so copies don't vouch for themselves;
 * a self-join by prefix: texts are brought together by the hash of their first
   PREFIX characters and sorted; a text that is a strict prefix of a longer one
   stands right beside it. What follows there tells whether the text ends within
@@ -24,6 +25,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,6 +46,7 @@ FINISHED = re.compile(r"[.!?。！？][”\"»“’')\]）」』\s]*$")
 #: A full stop that may not end a sentence: after a digit, an initial or an abbreviation.
 DOUBTFUL = re.compile(r"(?:\d|\b[A-ZÀ-Þ]|\b(?:Dr|M|Mr|Mrs|Mme|St|No|no|Nr|vs|Tel|bzw|ca|etc|art|Art|Abs|p|pp))\.$")
 VERSION = re.compile(r"\b(?:version|von|de)\s+\d+\.$", re.I)
+SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n")
 #: The Chinese full stop after a round trip that lost its last byte.
 GARBLED_STOP = re.compile(r"(?:銆�|��|�\?)\s*$")
 
@@ -73,8 +76,22 @@ def line_key(line: Column, source: Column) -> Column:
     return F.xxhash64(F.when(F.length(source) > 2, F.replace(n, F.lower(source), F.lit("§"))).otherwise(n))
 
 
+def signatures(text: str) -> tuple[int | None, int | None, int]:
+    """Hashes of the two longest sentences before the last line (None without any), and of the longest of the text.
+
+    Copies agree in one of them even if edited elsewhere; different texts don't.
+    """
+    t = text.rstrip()
+    at = t.rfind("\n")
+    hashed = lambda x: xxhash.xxh64_intdigest(x.encode("utf-8", "replace")) - (1 << 63)
+    long = sorted({x.strip() for x in SENTENCES.split(t[:at])} if at > 0 else (), key=lambda x: (-len(x), x))[:2]
+    if not long or not long[0]:
+        return None, None, hashed(t)
+    return hashed(long[0]), hashed(long[-1] or long[0]), hashed(long[0])
+
+
 def candidates(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """doc_id, source, end, prefix (hash of the first characters), last (key of the last line)."""
+    """doc_id, source, end, prefix (hash of the first characters), last (key of the last line), what stands before it, the text's hash."""
     src = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")).where("text <> ''")
     src = src.select("doc_id", "source", "text", F.xxhash64(F.substring("text", 1, PREFIX)).alias("prefix"),
                      line_key(F.element_at(F.split(F.regexp_replace("text", r"\s+$", ""), "\n", -1), -1), F.coalesce("source", F.lit(""))).alias("last"))
@@ -85,11 +102,13 @@ def candidates(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
             for i, s, t, p, k in zip(ids, sources, texts, prefixes, lasts):
                 e = ending(t)
                 if e in ("open", "doubtful") and not residue.has_form(t):
-                    out.append((i, s, e, p, k, bool(VERSION.search(t.rstrip()))))
+                    out.append((i, s, e, p, k, bool(VERSION.search(t.rstrip())), *signatures(t)))
+                else:  # only counted as one of the source's texts
+                    out.append((i, s, None, None, None, None, None, None, signatures(t)[2]))
             return out
         return run
 
-    return map_columns(src, make, "doc_id bigint, source string, end string, prefix bigint, last bigint, version boolean")
+    return map_columns(src, make, "doc_id bigint, source string, end string, prefix bigint, last bigint, version boolean, before bigint, before2 bigint, whole bigint")
 
 
 def full_lines(docs: DataFrame, wanted: DataFrame, text: str, source: str) -> DataFrame:
@@ -140,13 +159,17 @@ def continuations(docs: DataFrame, prefixes: DataFrame, key: str, text: str) ->
 
 def truncated(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """doc_id, source, evidence ("end" or "prefix") of each cut document."""
-    cand = cut(candidates(docs, key, text, source))
+    every = cut(candidates(docs, key, text, source))
+    cand = every.where("end is not null")
     ends = cand.where("end = 'open'")
-    total = docs.where(F.col(text) != "").groupBy(F.col(source).alias("s")).agg(F.count(F.lit(1)).alias("total"))
-    often = ends.groupBy("source", "last").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LAST_LINE_DOCS).join(small(total, 100_000), F.col("source").eqNullSafe(F.col("s")))
+    # texts, not rows, vouch for a last line of their source
+    total = every.groupBy(F.col("source").alias("s")).agg(F.count_distinct("whole").alias("total"))
+    counted = ends.groupBy("source", "last").agg(F.count_distinct(F.coalesce("before", F.lit(0))).alias("n1"), F.count_distinct(F.coalesce("before2", F.lit(0))).alias("n2"))
+    counted = counted.select("source", "last", F.least("n1", "n2").alias("n")).where(F.col("n") >= LAST_LINE_DOCS)
+    often = counted.join(small(total, 100_000), F.col("source").eqNullSafe(F.col("s"))).where(F.col("n") >= LAST_LINE_SHARE * F.col("total")).select("s", F.col("last").alias("line"))
     full = full_lines(docs, ends.select("last").distinct(), text, source)
-    full = full.union(often.where(F.col("n") >= LAST_LINE_SHARE * F.col("total")).select("last")).distinct()
-    rest = cand.join(full.withColumn("is_full", F.lit(True)), "last", "left").where("is_full is null")
+    rest = cand.join(full, "last", "left_anti")
+    rest = rest.join(often, (F.col("last") == F.col("line")) & F.col("source").eqNullSafe(F.col("s")), "left_anti")
     rest = cut(rest.select("doc_id", "source", "end", "prefix", "version"))
     more = continuations(docs, rest.select("prefix").distinct(), key, text).groupBy("doc_id").agg(F.min("following").alias("following"))
     judged = rest.join(more, "doc_id", "left")

@@ -305,6 +305,19 @@ def test_truncation(spark):
     assert truncation.truncated(frame(spark, []), "doc_id", "text", "source").count() == 0
 
 
+def test_copies_of_a_cut_text_do_not_vouch_for_its_last_line(spark):
+    cut_off = f"{prose(500, 40)}\nthe ledger was counted by the audit team before the har"
+    edited = [f"{prose(500, 40)}\n{prose(600 + i, 6)}\nthe ledger was counted by the audit team before the har" for i in range(6)]
+    rows = [(i, t, "a") for i, t in enumerate([cut_off] * 8 + edited)] + [(100 + i, prose(i, 40), "a") for i in range(20)]
+    # a line that ends many texts of one source is full there, and no evidence for another source
+    rows += [(200 + i, f"{prose(i + 50, 40)}\nMore from the harbour desk", "b") for i in range(12)] + [(300, f"{prose(300, 40)}\nMore from the harbour desk", "c"), (301, prose(301, 40), "c"), (302, f"{prose(302, 40)}\nMore from the harbour desk", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r["doc_id"] for r in truncation.truncated(df, "doc_id", "text", "source").collect()}
+    assert got == set(range(14)) | {300, 302}
+    rate = {r["source"]: r["cut"] for r in truncation.rates(df, "doc_id", "text", "source").collect()}
+    assert rate == {"a": 14, "b": 0, "c": 1, None: 1}
+
+
 def test_queries_are_named(spark):
     from proofgrain.llm import queries
 
