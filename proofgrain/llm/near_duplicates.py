@@ -3,7 +3,9 @@
 Texts are reduced (NFKC, lower case, letters and digits); equal reduced texts
 are first put together under the least id, so exact copies, however many, cost
 one sketch. A sketch holds 120 min-hash components over the 9-character
-shingles; one bit of each is the fingerprint, groups of five are the band keys.
+shingles; one bit of each is the fingerprint, groups of three are the band
+keys: so many small bands that a pair at the least similarity misses all of them
+once in 20 million times.
 Fingerprints lie in a forest of BK-trees: the children of a node are keyed by
 their Hamming distance to it, and a search follows only edges within the radius.
 
@@ -32,9 +34,11 @@ from proofgrain.operators.graph import connected_components
 WIDTH = 9
 LEAST_CHARS = 200
 SIMILARITY = 0.7
-PASSES, BINS, ROWS = 4, 30, 5  # 120 components, 24 bands
-#: Expected distance at similarity 0.7 is 18 of 120 bits, standard deviation 3.9.
-RADIUS = 34
+PASSES, BINS, ROWS = 4, 30, 3  # 120 components
+#: A pair of similarity J shares no band with probability (1 - J^3)^40: 5e-8 at 0.7.
+BANDS = PASSES * BINS // ROWS
+#: Expected distance at similarity 0.7 is 18 of 120 bits, standard deviation 3.9; the radius is six of them off.
+RADIUS = 42
 BLOCK = 4096
 #: Odd multipliers of the passes.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -83,17 +87,17 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
                 mh = minhashes(list(texts))
                 bits = mh >> np.uint64(17) & np.uint64(1)
                 f1, f2 = ((bits[:, s] * weights).sum(1).astype(np.int64) for s in (slice(0, 60), slice(60, 120)))
-                # a band takes its five components from different bins and passes
-                bands = np.zeros((len(ids), 24), np.uint64)
-                shuffled = mh.reshape(len(ids), ROWS, 24)
+                # a band takes its components from different bins and passes
+                bands = np.zeros((len(ids), BANDS), np.uint64)
+                shuffled = mh.reshape(len(ids), ROWS, BANDS)
                 for j in range(ROWS):
                     bands = (bands ^ shuffled[:, j, :]) * np.uint64(0x9E3779B97F4A7C15)
                     bands ^= bands >> np.uint64(32)
-                bands = bands * np.uint64(32) + np.arange(24, dtype=np.uint64)
+                bands = bands * np.uint64(64) + np.arange(BANDS, dtype=np.uint64)
                 digest = np.frombuffer(b"".join(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids, pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(f1), pa.array(f2),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, 24 * len(ids) + 1, 24, dtype=np.int32)), pa.array(bands.astype(np.int64).ravel())),
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(ids) + 1, BANDS, dtype=np.int32)), pa.array(bands.astype(np.int64).ravel())),
                 ], names=["doc_id", "d1", "d2", "f1", "f2", "bands"])
 
     return src.mapInArrow(run, ddl)

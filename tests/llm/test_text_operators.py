@@ -83,6 +83,20 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(cls[a] == cls[b] for a, b in got)
 
 
+def test_pairs_near_the_least_similarity_meet_in_a_shard(spark):
+    r = random.Random(5)
+    letters = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    rows = []
+    for k in range(2000):  # 43 of 300 letters replaced: similarity 0.70
+        t, at = letters(300), r.randrange(9, 240)
+        rows += [(2 * k, t), (2 * k + 1, t[:at] + letters(43) + t[at + 43:])]
+    assert all(len(shingles(x) & shingles(y)) >= 0.7 * len(shingles(x) | shingles(y)) for (_, x), (_, y) in zip(rows[:40:2], rows[1:40:2]))
+    sk = {x["doc_id"]: x for x in near_duplicates.sketch(frame(spark, rows), "doc_id", "text").collect()}
+    missed = [k for k in range(2000) if not set(sk[2 * k]["bands"]) & set(sk[2 * k + 1]["bands"])]
+    far = [k for k in range(2000) if sum((sk[2 * k][f] ^ sk[2 * k + 1][f]).bit_count() for f in ("f1", "f2")) > near_duplicates.RADIUS]
+    assert missed == [] and far == []
+
+
 def test_blocks_of_one_shard_lose_no_pair(spark):
     rows = [(7, i, i % 5, 0) for i in range(60)] + [(8, 1000, 1, 1)]
     df = spark.createDataFrame(rows, "key bigint, doc_id bigint, f1 bigint, f2 bigint")
