@@ -9,7 +9,7 @@ Three kinds of evidence decide whether a text was cut:
   (notice, byline, label), so the text isn't cut there; texts are different if
   what stands before their last line is, so copies don't vouch for themselves;
 * a self-join by prefix: texts are brought together by the hash of their first
-  PREFIX characters and sorted; a text that is a strict prefix of a longer one
+  PREFIX characters (of as many as a shorter candidate has) and sorted; a text that is a strict prefix of a longer one
   stands right beside it. What follows there tells whether the text ends within
   a sentence ("34." going on as "34.5") or at the end of a full line.
 
@@ -41,6 +41,7 @@ FULL_LINE_DOCS, LAST_LINE_DOCS, LAST_LINE_SHARE = 2, 5, 0.05
 PLAIN_FROM, PLAIN_TO = "".join(SINGLE) + FULL_WIDTH, "".join(SINGLE.values()) + ASCII
 #: Rows of candidates (a long each) that are broadcast.
 MAX_BROADCAST = 1_000_000
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 OMISSION = re.compile(r"\s*(?:…+|\.{3,}|\[\s*(?:…|\.{3})\s*\]|\(\s*(?:…|\.{3})\s*\))\s*$")
 FINISHED = re.compile(r"[.!?。！？][”\"»“’')\]）」』\s]*$")
 #: A full stop that may not end a sentence: after a digit, an initial or an abbreviation.
@@ -90,25 +91,34 @@ def signatures(text: str) -> tuple[int | None, int | None, int]:
     return hashed(long[0]), hashed(long[-1] or long[0]), hashed(long[0])
 
 
+def bare(text: Column) -> Column:
+    """The text without blanks and an omission mark at its end."""
+    t = F.rtrim(text, F.lit(BLANKS))
+    marked = F.endswith(t, F.lit("…")) | F.endswith(t, F.lit("...")) | F.endswith(t, F.lit("]")) | F.endswith(t, F.lit(")"))
+    return F.when(marked, F.regexp_replace(t, r"(?U)\s*(…+|\.{3,}|\[\s*(…|\.{3})\s*\]|\(\s*(…|\.{3})\s*\))$", "")).otherwise(t)
+
+
 def candidates(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """doc_id, source, end, prefix (hash of the first characters), last (key of the last line), what stands before it, the text's hash."""
+    """doc_id, source, end, prefix (hash of the first characters) and its size, last (key of the last line), what stands before it, the text's hash."""
     src = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")).where("text <> ''")
-    src = src.select("doc_id", "source", "text", F.xxhash64(F.substring("text", 1, PREFIX)).alias("prefix"),
+    src = src.select("doc_id", "source", "text", F.substring(bare(F.col("text")), 1, PREFIX).alias("start"),
                      line_key(F.element_at(F.split(F.regexp_replace("text", r"\s+$", ""), "\n", -1), -1), F.coalesce("source", F.lit(""))).alias("last"))
 
+    src = src.select("doc_id", "source", "text", F.xxhash64("start").alias("prefix"), F.length("start").alias("size"), "last")
+
     def make() -> Callable[..., list]:
-        def run(ids: list, sources: list, texts: list, prefixes: list, lasts: list) -> list:
+        def run(ids: list, sources: list, texts: list, prefixes: list, sizes: list, lasts: list) -> list:
             out = []
-            for i, s, t, p, k in zip(ids, sources, texts, prefixes, lasts):
+            for i, s, t, p, n, k in zip(ids, sources, texts, prefixes, sizes, lasts):
                 e = ending(t)
                 if e in ("open", "doubtful") and not residue.has_form(t):
-                    out.append((i, s, e, p, k, bool(VERSION.search(t.rstrip())), *signatures(t)))
+                    out.append((i, s, e, p, n, k, bool(VERSION.search(t.rstrip())), *signatures(t)))
                 else:  # only counted as one of the source's texts
-                    out.append((i, s, None, None, None, None, None, None, signatures(t)[2]))
+                    out.append((i, s, None, None, None, None, None, None, None, signatures(t)[2]))
             return out
         return run
 
-    return map_columns(src, make, "doc_id bigint, source string, end string, prefix bigint, last bigint, version boolean, before bigint, before2 bigint, whole bigint")
+    return map_columns(src, make, "doc_id bigint, source string, end string, prefix bigint, size int, last bigint, version boolean, before bigint, before2 bigint, whole bigint")
 
 
 def full_lines(docs: DataFrame, wanted: DataFrame, text: str, source: str) -> DataFrame:
@@ -123,10 +133,15 @@ def full_lines(docs: DataFrame, wanted: DataFrame, text: str, source: str) -> Da
 
 def continuations(docs: DataFrame, prefixes: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id, following: what a longer text has after this text, for texts that are strict prefixes of one."""
-    rows = docs.where(F.length(text) > 0).select(
-        F.col(key).cast("bigint").alias("doc_id"), F.regexp_replace(F.regexp_replace(F.col(text), r"\s+$", ""), r"\s*(…+|\.{3,}|\[\s*(…|\.{3})\s*\])$", "").alias("text"),
-        F.xxhash64(F.substring(text, 1, PREFIX)).alias("prefix"))
-    near = rows.join(small(prefixes, MAX_BROADCAST), "prefix", "left_semi").select("doc_id", "text")
+    rows = docs.where(F.length(text) > 0).select(F.col(key).cast("bigint").alias("doc_id"), bare(F.col(text)).alias("text"))
+    near = rows.withColumn("prefix", F.xxhash64(F.substring("text", 1, PREFIX))).join(small(prefixes.where(F.col("size") == PREFIX).select("prefix"), MAX_BROADCAST), "prefix", "left_semi").select("doc_id", "text")
+    short = prefixes.where((F.col("size") > 0) & (F.col("size") < PREFIX))
+    sizes = sorted(r["size"] for r in short.select("size").distinct().collect())  # fewer than PREFIX
+    if sizes:
+        # each document by the hash of its start of every size that a short candidate has; a text that ends there is its own start
+        starts = F.array(*[F.struct(F.lit(n).alias("size"), F.xxhash64(F.substring("text", 1, n)).alias("prefix")) for n in sizes])
+        spread = rows.select("doc_id", "text", F.explode(starts).alias("k")).select("doc_id", "text", "k.size", "k.prefix")
+        near = near.union(spread.join(small(short, MAX_BROADCAST), ["size", "prefix"], "left_semi").select("doc_id", "text"))
     placed = near.repartitionByRange(F.col("text").desc(), F.col("doc_id")).sortWithinPartitions(F.col("text").desc(), F.col("doc_id"))
     ddl = "kind int, doc_id bigint, text string, following string"
 
@@ -170,8 +185,8 @@ def truncated(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     full = full_lines(docs, ends.select("last").distinct(), text, source)
     rest = cand.join(full, "last", "left_anti")
     rest = rest.join(often, (F.col("last") == F.col("line")) & F.col("source").eqNullSafe(F.col("s")), "left_anti")
-    rest = cut(rest.select("doc_id", "source", "end", "prefix", "version"))
-    more = continuations(docs, rest.select("prefix").distinct(), key, text).groupBy("doc_id").agg(F.min("following").alias("following"))
+    rest = cut(rest.select("doc_id", "source", "end", "prefix", "size", "version"))
+    more = continuations(docs, rest.select("prefix", "size").distinct(), key, text).groupBy("doc_id").agg(F.min("following").alias("following"))
     judged = rest.join(more, "doc_id", "left")
     goes_on = F.coalesce(~F.col("following").rlike(r"^\s"), F.lit(False))
     new_line = F.coalesce(F.col("following").rlike(r"^[ \t]*\n"), F.lit(False))

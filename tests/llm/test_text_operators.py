@@ -332,6 +332,13 @@ def test_copies_of_a_cut_text_do_not_vouch_for_its_last_line(spark):
     assert rate == {"a": 14, "b": 0, "c": 1, None: 1}
 
 
+def test_texts_shorter_than_the_prefix_meet_their_longer_copies(spark):
+    rows = [(1, "Prices rose to 34."), (2, f"Prices rose to 34.5 percent. {prose(1, 30)}"), (3, "Notes on the harbour"), (4, f"Notes on the harbour\n{prose(2, 30)}"), (5, "The ledger of the harbour was […]"), (6, f"The ledger of the harbour was counted. {prose(3, 30)}"),
+            (7, f"{prose(4, 8)[:60]} (...)"), (8, f"{prose(4, 8)[:60]}\n{prose(5, 30)}"), (9, "…"), (10, "Prices rose to 35.")]
+    got = {r["doc_id"]: r["evidence"] for r in truncation.truncated(frame(spark, rows), "doc_id", "text", "source").collect()}
+    assert got == {1: "prefix", 5: "prefix", 9: "end"}
+
+
 def test_queries_are_named(spark):
     from proofgrain.llm import queries
 
