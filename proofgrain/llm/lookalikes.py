@@ -145,15 +145,33 @@ def _bring(df: DataFrame, key: list[str], text: str) -> DataFrame:
     return base.where(settled).select(*key, text, F.col("_t").alias("form")).union(stored.join(rebuilt, key).select(*key, text, "form"))
 
 
+def hashed(forms: DataFrame, key: str, within: list[str], text: str) -> DataFrame:
+    """id, the columns ``within``, f1 and f2 (hashes of the form) and raw (of the stored string) of every row with a text that isn't blank."""
+    return forms.where(F.col(text).rlike(r"(?U)\S")).select(F.col(key).cast("bigint").alias("id"), *within, F.xxhash64("form").alias("f1"), F.crc32(F.encode("form", "utf-8")).alias("f2"), F.xxhash64(text).alias("raw"))
+
+
 def look_same(forms: DataFrame, key: str, within: list[str], text: str) -> DataFrame:
     """Pairs (id_a, id_b) of rows with one form but different stored strings.
 
-    Only groups that hold two different strings at least are paired; rows that
-    are equal as stored are no pair.
+    Different strings of a form are paired, not rows; a pair of strings is then
+    joined to its rows, so what is made is what comes out, however many rows are
+    equal as stored. Rows that are equal are no pair.
     """
-    rows = cut(forms.where(F.col(text).rlike(r"(?U)\S")).select(F.col(key).cast("bigint").alias("id"), *within, F.xxhash64("form").alias("f1"), F.crc32(F.encode("form", "utf-8")).alias("f2"), F.xxhash64(text).alias("raw")))
+    rows = cut(hashed(forms, key, within, text))
     group = [*within, "f1", "f2"]
     mixed = rows.groupBy(*group).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select(*group)
-    kept = rows.join(mixed, group, "left_semi")
-    other = kept.select(F.col("id").alias("id2"), *group, F.col("raw").alias("raw2"))
-    return kept.join(other, group).where("id < id2 and raw <> raw2").select(F.col("id").alias("id_a"), F.col("id2").alias("id_b"))
+    kept = cut(rows.join(mixed, group, "left_semi"))
+    strings = kept.select(*group, "raw").distinct()
+    pairs = strings.join(strings.withColumnRenamed("raw", "raw2"), group).where("raw < raw2")
+    a, b = kept.withColumnRenamed("id", "a"), kept.select(F.col("id").alias("b"), *group, F.col("raw").alias("raw2"))
+    both = pairs.join(a, [*group, "raw"]).join(b, [*group, "raw2"])
+    return both.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+
+
+def classes(forms: DataFrame, key: str, within: list[str], text: str) -> DataFrame:
+    """row_id, class_id (the least id of its form), strings (different ones of the form): one row a row that isn't blank."""
+    rows = cut(hashed(forms, key, within, text))
+    group = [*within, "f1", "f2"]
+    # strings are counted before their forms: a hot string costs its partitions, not its rows
+    least = rows.groupBy(*group, "raw").agg(F.min("id").alias("least")).groupBy(*group).agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("strings"))
+    return rows.join(least, group).select(F.col("id").alias("row_id"), "class_id", "strings")

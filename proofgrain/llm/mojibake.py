@@ -3,8 +3,10 @@
 Round-trip repair. A text is cut into lines; each line is re-encoded under the
 encodings it may have been read with, strictly decoded as the encodings it may
 have been written in, and the result is accepted when a garbling cost drops.
-This repeats for nested layers. Where only places of a line are garbled, the
-round trip is made for the byte sequences that stand there.
+This repeats, for any number of nested layers, until nothing drops any more.
+Where only places of a line are garbled, the round trip is made for the byte
+sequences that stand there; one whose result is itself garbled (control
+characters of an inner layer) is undone if what follows from it is text.
 
 Nulls and texts without a garbled place come out as they are and are no case;
 a text that can't be restored in full (lost bytes) is a case with the best
@@ -34,7 +36,6 @@ SINGLE_BYTE = (
 HOME = set("ÀÂÄÇÉÈÊËÎÏÔÖÙÛÜŒÆàâäçéèêëîïôöùûüœæßáíóúñÁÍÓÚÑ«»“”„‘’‚–—…€£©®°§·•")
 #: Ligatures, and letters of other scripts that look like ASCII letters.
 LOOK_LATIN = set("ﬁﬂасеорхуіјѕһԁԛԝАВЕКМНОРСТУХІЈЅοαρνικυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ")
-LAYERS = 4
 NON_ASCII = re.compile(r"[^\x00-\x7f]")
 WIDE_RUN = re.compile(r"[^\x00-\x7f]{2,}|[⺀-￯][A-Za-z]?")
 HIGH_RUN = re.compile("[\u0080-ÿŒœŠšŸŽžƒˆ˜–—‘-„†-•…‰‹›€™]{4,}")
@@ -56,15 +57,15 @@ def _tables() -> tuple[dict[str, dict[str, int]], list[tuple[str, re.Pattern]]]:
         back[enc] = {c: b for b, c in chars.items()}
         cls = lambda lo, hi, chars=chars: "[" + "".join(re.escape(chars[b]) for b in range(lo, hi + 1)) + "]"
         tail = cls(0x80, 0xBF)
-        seqs.append((enc, re.compile(f"(?:(?:{cls(0xC2, 0xC6)}|{cls(0xCB, 0xCB)}){tail}|(?:{cls(0xE2, 0xE9)}|{cls(0xEF, 0xEF)}){tail}{{2}}|{cls(0xF0, 0xF0)}{tail}{{3}})+")))
+        seqs.append((enc, re.compile(f"(?:{cls(0xC2, 0xDF)}{tail}|{cls(0xE0, 0xEF)}{tail}{{2}}|{cls(0xF0, 0xF4)}{tail}{{3}})+")))
     return back, seqs
 
 
 BACK, SEQUENCES = _tables()
 
 
-#: A UTF-8 sequence of the scripts handled (Latin, CJK, punctuation, emoji) under any of the encodings.
-LEADS = "".join(re.escape(c) for e in READ_AS for c, b in BACK[e].items() if 0xC2 <= b <= 0xC6 or b == 0xCB or 0xE2 <= b <= 0xE9 or b in (0xEF, 0xF0))
+#: The start of a UTF-8 sequence, of whatever script, under any of the encodings.
+LEADS = "".join(re.escape(c) for e in READ_AS for c, b in BACK[e].items() if 0xC2 <= b <= 0xF4)
 LEAD_TAIL = re.compile(f"[{LEADS}][{''.join(re.escape(c) for e in READ_AS for c, b in BACK[e].items() if b <= 0xBF)}]")
 STRANGE = re.compile("[^\x00-\x7f⺀-￯" + "".join(map(re.escape, sorted(HOME))) + r"]|[A-Za-zÀ-ÿ][»«”“„‚–—€£©®°§·•][A-Za-zÀ-ÿ]|[a-zà-ÿ][À-Þ]")
 WIDE = re.compile("[⺀-鿿가-힣＀-￯]")
@@ -107,11 +108,26 @@ def _fits(decoded: str, units: int) -> bool:
             continue
         if o < 0x250 or 0x80 <= o < 0xA0:
             return False
-        if units < 2 or unicodedata.category(c)[0] in "CZM":
+        kind = unicodedata.category(c)
+        if units < 2 or kind[0] in "CZ" or kind[0] == "M" and not 0x590 <= o <= 0x1CFF:  # marks belong to the scripts that are written with them
             return False
     return True
 
 
+def _resolves(s: str, enc: str) -> bool:
+    """Whether characters got from a round trip fit, or do after further ones: an inner layer may hold control characters."""
+    while not _fits(s, len(s)):
+        raw = to_bytes(s, enc)
+        try:
+            new = raw.decode("utf-8") if raw else s
+        except UnicodeDecodeError:
+            return False
+        if new == s or len(new) >= len(s):
+            return False
+        s = new
+    return True
+
+
 def cost(s: str) -> float:
     """Garbling cost: how much of ``s`` is unlike written text."""
     total, prev = 0.0, ""
@@ -127,7 +143,8 @@ def cost(s: str) -> float:
             elif c not in HOME:
                 nxt = s[i + 1] if i + 1 < len(s) else ""
                 inside = (prev.isalpha() and prev < "ɐ") or (nxt.isalpha() and nxt < "ɐ")
-                total += 2 if inside and c not in LOOK_LATIN else 0.5
+                own = o >= 0x370 and (prev > "ͯ" and abs(ord(prev) - o) < 0x60 or nxt > "ͯ" and abs(ord(nxt) - o) < 0x60 or 0xAC00 <= o < 0xD7A4)
+                total += 0.1 if own and not inside else 2 if inside and c not in LOOK_LATIN else 0.5
             else:
                 nxt = s[i + 1] if i + 1 < len(s) else ""
                 if c.isalpha() and c.isupper() and prev.islower():
@@ -140,16 +157,46 @@ def cost(s: str) -> float:
     return total
 
 
+CYRILLIC = ("cp1251", "koi8_r")
+
+
+def _is_nested(s: str) -> bool:
+    return any("\x80" <= c < "\xa0" for c in s)
+
+
+def _whole(line: str) -> str:
+    """Round trip of the whole line: strict UTF-8 with several sequences is no accident."""
+    for enc in READ_AS:
+        raw = to_bytes(line, enc)
+        try:
+            new = raw.decode("utf-8") if raw else line
+        except UnicodeDecodeError:
+            continue
+        if len(line) - len(new) >= (6 if enc in CYRILLIC else 3) and cost(new) < cost(line):
+            return new
+    return line
+
+
+def _block(c: str) -> int:
+    return ord(c) >> 7
+
+
 def _utf8_places(line: str, enc: str, pat: re.Pattern) -> str:
     """Round trip of the UTF-8 sequences that stand in ``line`` as read by ``enc``."""
+    blocks: set[int] = set()
+
     def mend(m: re.Match) -> str:
         run = m.group()
         try:
             new = to_bytes(run, enc).decode("utf-8")
         except UnicodeDecodeError:
             new = ""
-        if new and _fits(new, len(new)) and cost(new) < cost(run):
+        if new and cost(new) < cost(run) and (_resolves(new, enc) or set(map(_block, new)) <= blocks):
+            if len(new) > 2:
+                blocks.update(_block(c) for c in new if ord(c) >= 0x370)
             return new
+        if _is_nested(new) or enc in CYRILLIC and not re.search("[A-Za-z]", m.string[max(0, m.start() - 1): m.start()] + m.string[m.end(): m.end() + 1]):
+            return run  # a part of a layer; or an ordinary pair of letters, unless it stands in a Latin word
         # not as a whole: sequence by sequence
         out, at, raw = [], 0, to_bytes(run, enc)
         while at < len(run):
@@ -162,7 +209,8 @@ def _utf8_places(line: str, enc: str, pat: re.Pattern) -> str:
                 out.append(part)
             at += n
         return "".join(out)
-    return pat.sub(mend, line)
+    fixed = pat.sub(mend, line)
+    return pat.sub(mend, fixed) if blocks else fixed  # short sequences beside long ones of their script
 
 
 def _gbk_places(line: str) -> str:
@@ -220,6 +268,10 @@ def _wide_places(line: str) -> str:
     return WIDE_RUN.sub(mend, line)
 
 
+#: Letters that a single-byte reading of Western text can give.
+RETURNS = HOME | {_decode(b, read) for read, written in SINGLE_BYTE for b in range(0x80, 0x100) if (w := _decode(b, written)) in HOME and w.isalpha()}
+
+
 def _single_byte(line: str) -> str:
     """Round trip of a whole line between single-byte encodings."""
     odd = [c for c in NON_ASCII.findall(line)]
@@ -244,7 +296,10 @@ def _single_byte(line: str) -> str:
         after = cost(new)
         if after < best_cost and after <= 0.35 * before and all(c in HOME for c in NON_ASCII.findall(new)):
             best, best_cost = new, after
-    return best if best != line else WORD.sub(_word, line)
+    if best != line:
+        return best
+    # a letter that no such reading gives stands for a language that is written with it
+    return line if any(c.isalpha() and c not in RETURNS and c not in LOOK_LATIN for c in odd) else WORD.sub(_word, line)
 
 
 WORD = re.compile(r"\w*[^\W\d_]\w*")
@@ -269,6 +324,8 @@ def _undo(line: str) -> str:
     """``line`` with one layer undone, by the candidate of least cost."""
     found = []
     if LEAD_TAIL.search(line):
+        if (new := _whole(line)) != line:
+            return new
         found += [_utf8_places(line, enc, pat) for enc, pat in SEQUENCES]
     if HIGH_RUN.search(line):
         found.append(_gbk_places(line))
@@ -292,12 +349,10 @@ def repair(text: str) -> tuple[str, int]:
         return text, 0
     most, lines = 0, text.split("\n")
     for k, line in enumerate(lines):
-        for layer in range(LAYERS):
-            new = line if line.isascii() else _undo(line)
-            if new == line:
-                break
-            line, most = new, max(most, layer + 1)
-        lines[k] = line
+        layers = 0
+        while (new := line if line.isascii() else _undo(line)) != line:
+            line, layers = new, layers + 1
+        lines[k], most = line, max(most, layers)
     return "\n".join(lines), most
 
 

@@ -2,8 +2,8 @@
 
 Regular expressions propose spans of e-mail addresses, telephone numbers,
 identity numbers, postal addresses and names; checksum validators (mod-97, the
-ISO 7064 mod-11 schemes, Luhn) confirm or doubt identity numbers, and words
-nearby raise or lower a span's score (a word like "phone" speaks for it, one
+ISO 7064 mod-11 schemes, Luhn) confirm or doubt identity numbers (a number in a
+form that only Luhn can confirm is none without it), and words nearby raise or lower a span's score (a word like "phone" speaks for it, one
 like "order" or "ISBN" against). What scores enough and overlaps nothing better
 is replaced by a typed placeholder; the rest of the text stays as it is.
 
@@ -36,15 +36,16 @@ UNSEEN = re.compile("[\u00ad\u0300-\u036f\u200b-\u200f\u2060-\u2064\ufeff]")
 # Words that speak for or against a kind of number.
 PHONE_WORDS = re.compile(r"phone|call|tel\b|tel\.|desk at|telefon|unter|mobil|fax|joignable|appel|电话|手机|致电|热线|传真", re.I)
 NUMBER_WORDS = re.compile(r"order|ticket|isbn|batch|lot\b|case|invoice|code|error|ref\b|ref\.|serial|nummer|auftrag|charge|vorgang|rechnung|wkn|isin|commande|facture|colis|série|lot n|référence|订单|批次|编号|书号|证券|代码|错误码|单号|updated|stand:|更新|mis à jour|#\s*$", re.I)
-ID_WORDS = re.compile(r"ssn|social security|tax id|national id|steuer-?id|idnr|steueridentifikation|sécurité sociale|numéro fiscal|\bnir\b|身份证|证件号|公民身份", re.I)
+ID_WORDS = re.compile(r"ssn|social (?:security|insurance)|personnummer|tax id|national id|steuer-?id|idnr|steueridentifikation|sécurité sociale|numéro fiscal|\bnir\b|身份证|证件号|公民身份", re.I)
 FIRM_WORDS = r"(?:Group|Holdings?|Labs|Foods|Freight|Energy|Systems|Materials|Data|Trust|Network|Publishing|Ltd|Inc|LLC|GmbH|AG|KG|SE|SA|SAS|SARL|Werke|Technik|Gruppe|Industries|Stiftung|Verlag|Partners|Partner|Company|Co)\b"
 FIRM_HAN = r"(?:集团|公司|食品|物流|数据|材料|科技|能源|基金|银行|网|社)"
 
 EMAIL = re.compile(
     r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9À-ÿ][A-Za-z0-9À-ÿ._%+\-]*\s?(?:@|[(\[{]\s?at\s?[)\]}])\s?"
     r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\s?[(\[{]\s?dot\s?[)\]}]\s?[A-Za-z0-9\-]+|\.[A-Za-z0-9\-]+)*(?:\s?[(\[{]\s?dot\s?[)\]}]\s?|\.)[A-Za-z]{2,}", re.I)
-DIGITS_HAN = re.compile(r"(?<![A-Za-z0-9_.,+\-/])[+(]?\+?\d(?:[ \-./()]{0,2}\d){7,24}[Xx]?(?![A-Za-z0-9_])")
+DIGITS_HAN = re.compile(r"(?<![A-Za-z0-9_.,+\-/])[+(]?\+?\d(?:[ \-./()]{0,2}\d){7,}[Xx]?(?![A-Za-z0-9_])")
 SSN = re.compile(r"(?<![\w\-])\d{3}([\- ])\d{2}\1\d{4}(?![\w\-])|(?<![\w\-])\d{9}(?![\w\-])")
+LUHN_ID = re.compile(r"(?<![\w\-])(?:\d{3}([\- ])\d{3}\1\d{3}|(?:19|20)?\d{6}[\-+ ]\d{4}|\d{6} ?\d{4} ?\d{3})(?![\w\-])")
 TAX_DE = re.compile(r"(?<!\d)\d{2} ?\d{3} ?\d{3} ?\d{3}(?!\d)")
 NIR = re.compile(r"(?<!\d)[12378] ?\d{2} ?\d{2} ?(?:\d{2}|2[AB]) ?\d{3} ?\d{3} ?\d{2}(?!\d)")
 CITIZEN = re.compile(r"(?<!\d)\d{6} ?(?:19|20)\d{6} ?\d{3}[\dXx](?!\d)")
@@ -203,6 +204,11 @@ class Finder:
         if m and m.end() == end and (context or "-" in raw or " " in raw) and not against and not (PHONE_WORDS.search(before[-10:]) and not context):
             if context or "-" in raw:
                 return Span("id_number", start, end, 5 + context)
+        m = LUHN_ID.match(t, start)
+        if m and m.end() == end and context and not against:
+            digits = re.sub(r"\D", "", raw)
+            if luhn(digits[2:] if len(digits) == 12 else digits):  # a century isn't part of the checked number
+                return Span("id_number", start, end, 5 + context)
         return None
 
 

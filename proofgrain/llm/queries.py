@@ -45,7 +45,7 @@ def p3_main(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    hits, _ = repeated_lines.boilerplate(read_table(spark, sf, "documents"), "doc_id", "text", "source")
+    hits = repeated_lines.repeated(read_table(spark, sf, "documents"), "doc_id", "text", "source")
     return hits.select(F.col("row_id").alias("doc_id"), "line_no")
 
 
@@ -92,6 +92,13 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return a.select(F.lit("fact_verdicts").alias("tbl"), "id_a", "id_b").union(b.select(F.lit("documents"), "id_a", "id_b"))
 
 
+def p6_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """One row a row: the least id of those that look the same (facts: of one query), and how many strings they are written in."""
+    facts, docs = _forms(spark, sf)
+    a, b = lookalikes.classes(facts, "verdict_id", ["query_id"], "fact"), lookalikes.classes(docs, "doc_id", [], "text")
+    return a.select(F.lit("fact_verdicts").alias("tbl"), "row_id", "class_id", "strings").union(b.select(F.lit("documents"), "row_id", "class_id", "strings"))
+
+
 def p7_residue(spark: SparkSession, sf: str) -> DataFrame:
     docs, pages = read_table(spark, sf, "documents"), read_table(spark, sf, "serp_docs")
     model = residue.gather([docs.select("text"), docs.select("title"), pages.select("title")])

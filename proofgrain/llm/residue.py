@@ -41,24 +41,26 @@ ROUNDS = 6
 CLASSES = ("content", "placeholder", "filler", "notice")
 #: Characters and words on either side of a placeholder that make its passage.
 WINDOW, NEAR = 60, 3
-#: Characters of a field that is learned from as a whole (bounds the sample; fields of any length are scored).
-LONGEST_NOTICE = 400
+#: Characters of an unlabelled field that is learned from as a whole: a parameter of the sample; trusted fields of any length are learned from, and fields of any length are scored.
+LONGEST_UNLABELLED = 400
 #: Share of the whole sample in a word's probability.
 BACKGROUND = 0.1
 #: Log odds from which a word speaks for a class; odds of a class whose form an unlabelled passage hasn't.
 SPEAKS, NEVER = 1.0, -50.0
+#: Weight of a prototype against a passage of the corpus.
+PROTOTYPE_WEIGHT = 0.1
 #: Share of the words that speak for a notice, for filler.
 NOTICE_SHARE, FILLER_SHARE = 0.6, 0.7
 
 PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{1,40}\}\}|\{%[^%{}\n]{1,40}%\}|<%=?[^%<>\n]{1,40}%>|[$#]\{[^{}\n]{1,40}\}|%%[A-Za-z_.]{2,40}%%|(?<![\w%])%[A-Z_]{3,40}%(?![\w%])"
-    r"|\[\[[^\[\]\n]{1,40}\]\]|\[INSERT [^\[\]\n]{1,40}\]|__[A-Z][A-Z_]{1,40}__|(?<![\w{])\{[A-Za-z_.]{2,40}\}(?!\})|<[a-z]+[._][a-z_.]+>|<(?:city|author|title|summary|product|amount|name|date|user|company)>")
+    r"\{\{[^{}\n]+\}\}|\{%[^%{}\n]+%\}|<%=?[^%<>\n]+%>|[$#]\{[^{}\n]+\}|%%[A-Za-z_.]{2,}%%|(?<![\w%])%[A-Z_]{3,}%(?![\w%])"
+    r"|\[\[[^\[\]\n]+\]\]|\[INSERT [^\[\]\n]+\]|__[A-Z][A-Z_]+?__|(?<![\w{])\{[A-Za-z_.]{2,}\}(?!\})|<[a-z]+[._][a-z_.]+>|<(?:city|author|title|summary|product|amount|name|date|user|company)>")
 #: Marks of the general form of a placeholder, whatever they hold; the model's odds decide.
-MARK = re.compile(PLACEHOLDER.pattern + r"|(?<!\{)\{[A-Za-z0-9](?:[\w .\-]{0,38}\w)?\}(?!\})|\[[A-Z][A-Z_ .\-]{2,40}\]|<[A-Z][A-Z_ .\-]{2,40}>|<[a-z]+(?:[_.\-][a-z]+)+>|@@[\w. \-]{1,40}@@|##?[A-Z_]{3,40}##?|%\([A-Za-z_.]{2,40}\)[sdf]", re.A)
+MARK = re.compile(PLACEHOLDER.pattern + r"|(?<!\{)\{[A-Za-z0-9](?:[\w .\-]*\w)?\}(?!\})|\[[A-Z][A-Z_ .\-]{2,}\]|<[A-Z][A-Z_ .\-]{2,}>|<[a-z]+(?:[_.\-][a-z]+)+>|@@[\w. \-]+@@|##?[A-Z_]{3,}##?|%\([A-Za-z_.]{2,}\)[sdf]", re.A)
 SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n")
 QUOTE = re.compile(r"[“”„«»「」『』\"]")
 QUOTED = re.compile(r"[“„«‘\"'`(（「Ñâ]\s?$"), re.compile(r"^\s?[”“»’\"'`)）」ì]")
-# Words of texts that speak about placeholders.
+# Words of texts that speak about placeholders; one near a mark is a token of its passage, whose weight is learned.
 ABOUT = re.compile(r"template|placeholder|render|marker|\bmark\b|platzhalter|vorlage|ersetzt|gabarit|modèle de page|balise|remplac|模板|占位符|标记|渲染", re.I)
 # Stand-in titles, errors, access checks and script notices (digits as 0).
 NOTICE = re.compile("|".join((
@@ -76,6 +78,15 @@ NOTICE = re.compile("|".join((
     r"服务器内部错误(?: ?0)?", r"系统繁忙，请稍后再试(?:（错误码0）)?[。]?", r"访问过于频繁，请完成验证后继续[。]?", r"请启用javascript后重新加载本页[。]?", r"您访问的页面已被删除或暂时无法打开[。]?", r"系统提示", r"无标题文档", r"标题待填写",
     r"【?请输入标题】?", r"无标题", r"未命名(?:文档)?", r"页面不存在", r"0 ?-? ?页面不存在", r"访问被拒绝[^\n]{0,40}", r"请稍候(?:…|\.\.\.)?", r"正在验证[^\n]{0,40}", r"需要启用javascript[^\n]{0,40}", r"出错了[。！]?", r"错误0",
 )))
+# Notices the model learns from beside the corpus's own, so that their words are known where the corpus holds none.
+PROTOTYPES = (
+    "Service temporarily unavailable", "Sorry, something went wrong. Please try again later.", "An unexpected error occurred", "Error establishing a database connection", "Database connection failed",
+    "You need to enable JavaScript to run this app.", "Attention required! Verify you are human by completing the check", "Please verify that you are not a robot", "Please complete the captcha to continue",
+    "Your browser is not supported", "This content is not available in your region", "You have been blocked", "The requested URL was not found on this server", "The connection has timed out", "This page isn't working", "Please log in to continue", "Page under construction", "Site under maintenance, back soon",
+    "Ein unerwarteter Fehler ist aufgetreten. Bitte versuchen Sie es später erneut.", "Bitte bestätigen Sie, dass Sie kein Roboter sind", "Die angeforderte Seite wurde nicht gefunden", "Die Seite befindet sich im Aufbau",
+    "Une erreur inattendue est survenue. Veuillez réessayer plus tard.", "Veuillez confirmer que vous n'êtes pas un robot", "La page demandée est introuvable", "Site en maintenance",
+    "抱歉，出现错误，请稍后重试", "请完成安全验证", "您的访问请求被拒绝", "网站正在维护中", "数据库连接错误",
+)
 # The openings and set phrases of filler text.
 FILLER = re.compile(
     r"lorem ipsum dolor|consectetur|eiusmod|incididunt|(?:\b(?:ullamco|aliquip|adipiscing|aliqua|nostrud|veniam|tempor|commodo|amet|magna|labore)\b\W+){3}"
@@ -98,8 +109,8 @@ def tokens(text: str) -> list[str]:
     return out
 
 
-def marks(text: str) -> Iterator[tuple[list[str], str, bool, bool]]:
-    """(tokens, words around it, open, trusted) of each mark; open: not set in quotes; trusted: in a known form."""
+def marks(text: str) -> Iterator[tuple[list[str], bool, bool]]:
+    """(tokens, open, trusted) of each mark; open: not set in quotes; trusted: in a known form."""
     if not MARK.search(text):
         return
     text = repair(text)[0]  # quotes and words around it may be garbled
@@ -108,7 +119,9 @@ def marks(text: str) -> Iterator[tuple[list[str], str, bool, bool]]:
         opened = not (QUOTED[0].search(before) and QUOTED[1].search(after))
         form = re.sub(r"[^{}$#%<>\[\]=]+", "x", m.group())
         near = [f"~{w}" for w in [*tokens(before)[-NEAR:], *tokens(after)[:NEAR]]]
-        yield ["=open", f"={form}", *near] if opened else ["=quoted", *near], f"{before} {after}", opened, bool(PLACEHOLDER.fullmatch(m.group()))
+        if ABOUT.search(f"{before} {after}"):
+            near.append("=about")
+        yield ["=open", f"={form}", *near] if opened else ["=quoted", *near], opened, bool(PLACEHOLDER.fullmatch(m.group()))
 
 
 def body(text: str) -> list[str]:
@@ -134,15 +147,16 @@ def passages(text: str) -> Iterator[tuple[str, list[str] | str]]:
     whole = "\n".join(lines)
     if not lines:
         return
-    if len(whole) <= LONGEST_NOTICE:
-        yield ("notice" if is_notice(whole) else ""), ["=whole", *tokens(whole)]
+    known = is_notice(whole)
+    if known or len(whole) <= LONGEST_UNLABELLED:
+        yield ("notice" if known else ""), ["=whole", *tokens(whole)]
     for line in lines:
         if SIGNS.search(line.lower()) and FILLER.search(line) and _ratio(line) > 0.7:
             yield "filler", ["=line", *tokens(line)]
         else:
             yield "", line
-        for words, around, opened, trusted in marks(line):
-            yield ("placeholder" if trusted and opened and not ABOUT.search(around) else ""), words
+        for words, opened, trusted in marks(line):
+            yield ("placeholder" if trusted and opened and "=about" not in words else ""), words
 
 
 LEXICON = set(
@@ -201,9 +215,10 @@ class Model:
         return odds if odds > 0 and self.share(words, 2) >= NOTICE_SHARE and not any(map(QUOTE.search, lines)) else None
 
 
-def fit(trusted: list[tuple[str, list[str]]], unlabelled: list[list[str]], rounds: int = ROUNDS) -> Model:
-    """Expectation-maximization from trusted positives and unlabelled passages."""
+def fit(trusted: list[tuple[str, list[str]]], unlabelled: list[list[str]], rounds: int = ROUNDS, prototypes: list[list[str]] = ()) -> Model:
+    """Expectation-maximization from trusted positives and unlabelled passages; prototypes are notices of less weight."""
     data = [(dict.fromkeys(t), {k: float(k == c) for k in CLASSES}, True) for c, t in trusted]
+    data += [(dict.fromkeys(t), {"notice": PROTOTYPE_WEIGHT}, True) for t in prototypes]
     data += [(dict.fromkeys(t), {"content": 1.0}, False) for t in unlabelled]
     vocabulary = {w for t, _, _ in data for w in t}
     model = None
@@ -264,7 +279,7 @@ def gather(frames: list[DataFrame]) -> Model:
         for r in rows:
             words = [w.replace("\x1f", " ") for w in r["words"].split(" ")]
             (trusted.append((kind, words)) if kind else unlabelled.append(words))
-    return fit(trusted, unlabelled)
+    return fit(trusted, unlabelled, prototypes=[["=whole", *tokens(t)] for t in PROTOTYPES])
 
 
 def decide(text: str | None, model: Model) -> tuple[str, float] | None:
@@ -285,9 +300,9 @@ def decide(text: str | None, model: Model) -> tuple[str, float] | None:
     if odds is not None:
         return "notice", odds
     for line in lines:
-        for words, around, opened, _ in marks(line):
+        for words, opened, _ in marks(line):
             odds = model.score(list(dict.fromkeys(words)))[0]
-            if odds > 0 and opened and not ABOUT.search(around):
+            if odds > 0 and opened:
                 return "placeholder", odds
         words = tokens(line)
         if model.share(words, 1) > FILLER_SHARE and not QUOTE.search(line) or SIGNS.search(line.lower()) and _ratio(line) > FILLER_SHARE:
@@ -301,8 +316,8 @@ def has_form(text: str) -> bool:
     """Whether a text has the form of residue, whatever the model's odds."""
     lines = body(text)
     whole = "\n".join(lines)
-    return (len(whole) <= LONGEST_NOTICE and is_notice(whole)) or any(
-        SIGNS.search(x.lower()) and _ratio(x) > 0.7 or any(o and known and not ABOUT.search(a) for _, a, o, known in marks(x)) for x in lines)
+    return is_notice(whole) or any(
+        SIGNS.search(x.lower()) and _ratio(x) > 0.7 or any(o and known and "=about" not in w for w, o, known in marks(x)) for x in lines)
 
 
 def residue(df: DataFrame, tbl: str, key: str, fields: list[str], model: Model) -> DataFrame:

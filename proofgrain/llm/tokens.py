@@ -19,6 +19,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -43,14 +44,30 @@ def read_vocabulary(path: str = DEFAULT_VOCABULARY) -> dict[bytes, int]:
 
 
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Exact merging: join the adjacent pair of least rank until none is left."""
-    parts = [word[i: i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 60))
-        if parts[best] + parts[best + 1] not in ranks:
-            break
-        parts[best: best + 2] = [parts[best] + parts[best + 1]]
-    return [ranks[p] for p in parts]
+    """Exact merging: join the adjacent pair of least rank, the first of equals, until none is left.
+
+    Pairs wait in a heap and parts in a linked list, so a word of n bytes takes n log n steps.
+    """
+    n = len(word)
+    end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    waiting = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i: i + 2])) is not None]
+    heapify(waiting)
+    while waiting:
+        _, i, stop = heappop(waiting)
+        j = after[i] if end[i] else n
+        if j >= n or end[j] != stop:
+            continue  # one of the two was joined to another part since
+        end[i], end[j], after[i] = stop, 0, after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        for left in (before[i], i):
+            if left >= 0 and (right := after[left]) < n and (r := ranks.get(word[left: end[right]])) is not None:
+                heappush(waiting, (r, left, end[right]))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i: end[i]]])
+        i = after[i]
+    return out
 
 
 def _differs(c: str) -> bool:

@@ -346,3 +346,86 @@ def test_queries_are_named(spark):
     assert all(any(n.startswith(f"p{k}_") for n in q) for k in range(1, 11))
     assert {n for n in q if n.endswith("_found")} >= {f"p{k}_found" for k in (1, 2, 3, 4, 5, 6, 7, 9, 10)} and "p8_ids" in q
     assert set(queries.oracle_sql()) <= set(q)
+
+
+# wider cases of the operators above
+OTHER_SCRIPTS = ["Die Straße über München wurde größer", "这份报告的结论是可靠的，数据也已经公布。", "Отчёт о проверке складов опубликован в пятницу.", "Η έκθεση για τις αποθήκες δημοσιεύθηκε.", "창고 감사 보고서가 금요일에 발표되었다.",
+                 "نشر تقرير مراجعة المستودعات يوم الجمعة.", "รายงานการตรวจสอบคลังสินค้าเผยแพร่แล้ว", "הדוח על המחסנים פורסם ביום שישי", "गोदामों की जांच की रिपोर्ट शुक्रवार को आई।", "Łódź ogłosiła żółtą gęś, który został zamknięty."]
+
+
+@pytest.mark.parametrize("text", OTHER_SCRIPTS)
+def test_any_script_comes_back_from_any_number_of_layers(text):
+    assert not mojibake.assess(text)[2]
+    for enc in ("latin_1", "cp1252"):
+        wrong = text
+        for layers in range(1, 7):
+            wrong = "".join(mojibake._decode(b, enc) if b >= 0x80 else chr(b) for b in wrong.encode())
+            assert mojibake.assess(wrong) == (text, layers, True)
+
+
+@pytest.mark.parametrize("text", ["Він їде до Києва, де ґанок і єдина їжа.", "„Spaß“ und Fuß… groß“ Maß”", "Größe»Ü« ß“ Ö»", "Привет, мир № 5 — “да”"])
+def test_pairs_that_look_like_sequences_are_no_case(text):
+    assert not mojibake.assess(text)[2]
+
+
+@pytest.mark.parametrize("right,wrong", [("social insurance number 046 454 286", "social insurance number 046 454 287"), ("personnummer 811228-9874", "personnummer 811228-9875"), ("numéro de sécurité sociale 255081416802538", None)])
+def test_a_wrong_check_digit_changes_the_decision(right, wrong):
+    kinds = lambda t: [s.kind for s in personal_data.Finder(NAMES).spans(f"with {t} on file")]
+    assert kinds(right) == ["id_number"] and (wrong is None or kinds(wrong) == [])
+
+
+def test_look_alikes_of_a_hot_string(spark):
+    rows = [(i, 1, "copy") for i in range(3000)] + [(3000 + i, 1, "сopy") for i in range(2)] + [(4000, 1, "cоpy"), (4001, 2, "copy"), (4002, 1, None), (4003, 1, " ")]
+    df = spark.createDataFrame(rows, "id bigint, grp bigint, f string")
+    forms = lookalikes.bring_to_form(df, ["id", "grp"], "f")
+    got = {(r[0], r[1]) for r in lookalikes.look_same(forms, "id", ["grp"], "f").collect()}
+    assert got == {(i, j) for i in range(3000) for j in (3000, 3001, 4000)} | {(3000, 4000), (3001, 4000)}
+    cls = {r["row_id"]: (r["class_id"], r["strings"]) for r in lookalikes.classes(forms, "id", ["grp"], "f").collect()}
+    assert cls == {**{r[0]: (0, 3) for r in rows[:3003]}, 4001: (4001, 1)}
+
+
+def test_lines_do_not_need_blocks(spark):
+    df = frame(spark, [(i, f"Head\nbody {'x' * i}\nFoot 12") for i in range(1, 9)])
+    hits, _ = repeated_lines.boilerplate(df, "doc_id", "text", "source")
+    some = {(r[0], r[1]) for r in hits.select("row_id", "line_no").collect()}
+    assert some == {(r[0], r[1]) for r in repeated_lines.repeated(df, "doc_id", "text", "source").select("row_id", "line_no").collect()} == {(i, n) for i in range(1, 9) for n in (1, 3)}
+
+
+def test_merging_long_words_in_little_time():
+    import time
+
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abab": 257, b"ba": 258, b"cc": 259}
+    at = time.perf_counter()
+    assert tokens.merge(b"ab" * 100_001, ranks) == [257] * 50_000 + [256] and tokens.merge(b"ccc", ranks) == [259, 99] and tokens.merge(b"", ranks) == []
+    assert time.perf_counter() - at < 5
+
+
+@pytest.mark.parametrize("text", ["Service Temporarily Unavailable", "Sorry, something went wrong.", "Database connection error", "You need to enable JavaScript to run this app.", "Attention Required! | Verify you are human", "Sorry, something went wrong. Please try again later. " * 12])
+def test_notices_in_words_of_no_seed(spark, text):
+    seeds = ["Access denied", "404 Not Found", "Error 503: the service is unavailable. Try again later.", "Please enable JavaScript to go on."]
+    content = [f"{prose(s, 30)}\n{prose(s + 500, 20)}" for s in range(60)]
+    model = residue.gather([frame(spark, list(enumerate([*seeds * 3, *content]))).select("text")])
+    assert not residue.is_notice(text) and residue.decide(text, model)[0] == "notice"
+    assert all(residue.decide(t, model) is None for t in content)
+
+
+def test_placeholders_of_any_length_and_near_words_about_marks(spark):
+    holders = [f"In {m} the group reported {m} million in 2023." for m in ("{{amount}}", "{{city}}", "${city}", "{{year}}")]
+    about = [f"A template engine swaps a mark such as “{m}” for a value when the page is rendered." for m in ("{{user}}", "{{city}}", "${city}")]
+    model = residue.gather([frame(spark, list(enumerate([*holders * 4, *about * 3, *(prose(s, 40) for s in range(60))]))).select("text")])
+    kinds = [residue.decide(t, model) for t in ("In {{" + "report." * 20 + "amount}} the group reported growth.", "In {{city}} the group reported a mark of 12 million in {{year}}.")]
+    assert [k and k[0] for k in kinds] == ["placeholder", "placeholder"]
+    assert all(residue.decide(t, model) is None for t in about)
+
+
+@pytest.mark.parametrize("most", [0, 250_000])
+def test_truncated_texts_of_any_length_meet_their_longer_copies(spark, most):
+    """On both sides of the bound for broadcasting."""
+    long = prose(900, 900)
+    rows = [(1, "The rate rose to 34."), (2, "The rate rose to 34.5 percent in the year under review."), (3, long[:4000]), (4, long), (5, "of the harb"), (6, "of the harbour it is said that all is well."),
+            # a full line elsewhere that a longer copy goes on from in mid-word
+            (7, f"{prose(7, 30)}\nMore from the desk"), (8, f"{prose(7, 30)}\nMore from the deskwork of the team. Fine."), *[(20 + i, f"{prose(70 + i, 30)}\nMore from the desk\n{prose(90 + i, 9)}") for i in range(6)],
+            (9, "same end"), (10, "same end"), (11, "same end\nAnd more of it.")]
+    rows += [(100 + i, long[: 4000]) for i in range(300)]  # a hot text
+    got = {r["doc_id"]: r["evidence"] for r in truncation.truncated(frame(spark, rows), "doc_id", "text", "source", most).collect()}
+    assert got == {i: "prefix" for i in [1, 3, 5, 7, *range(100, 400)]}
