@@ -429,3 +429,45 @@ def test_truncated_texts_of_any_length_meet_their_longer_copies(spark, most):
     rows += [(100 + i, long[: 4000]) for i in range(300)]  # a hot text
     got = {r["doc_id"]: r["evidence"] for r in truncation.truncated(frame(spark, rows), "doc_id", "text", "source", most).collect()}
     assert got == {i: "prefix" for i in [1, 3, 5, 7, *range(100, 400)]}
+
+
+def test_simple_tree_matching():
+    tree = main_body.read_tree("nav,div.a(aside.x,div.y),div:p,footer")
+    assert tree.text() == "(nav,div.a(aside.x,div.y),div:p,footer)" and main_body.match(tree, tree)[0] == 7
+    other = main_body.read_tree("nav,div.ad,div.a(div.y),footer")
+    assert main_body.match(tree, other)[0] == 5  # the root, nav, div.a with div.y, footer
+    main_body.merge(tree, other)
+    assert tree.text() == "(nav,div.ad,div.a(aside.x,div.y),div:p,footer)"
+    main_body.numbered(tree)
+    assert main_body.align(tree, other) == [0, 1, 2, 4, 6] and main_body.align(tree, main_body.read_tree("none,footer")) == [-1, 6]
+    assert main_body.read_tree("").text() == ""
+
+
+NESTED = """<html><body><div class="page"><nav class="m"><li><a href="/a">Home</a></li></nav>
+<div class="wrap"><div class="story"><h1>Title {n}</h1><p>{p}</p><aside class="box"><p>Follow our desk on all channels.</p><p>Write to us today.</p></aside><p>{q}</p></div>
+<div class="side"><p>Most read this week</p><p><a href="/x">{r}</a></p></div></div><footer class="f"><p>© 2024 Site</p></footer></div></body></html>"""
+
+
+def test_sidebars_within_content_are_slots_of_their_own(spark):
+    rows = []
+    for n in range(1, 13):
+        p, q, r = prose(n, 24), prose(n + 100, 24), prose(n + 200, 6)
+        rows.append((n, f"https://site.example/{n}", NESTED.format(n=n, p=p, q=q, r=r), f"Title {n}", f"Home\nTitle {n}\n{p}\nFollow our desk on all channels.\nWrite to us today.\n{q}\nMost read this week\n{r}\n© 2024 Site"))
+    df = spark.createDataFrame(rows, "fetch_id bigint, url string, raw_html string, title string, text string")
+    got = {(r["fetch_id"], r["line_no"]): r["main"] for r in main_body.classified(df, "fetch_id", "url", "raw_html", "title", "text").collect()}
+    assert got == {(n, k): k in (2, 3, 6) for n in range(1, 13) for k in range(1, 10)}
+
+
+@pytest.mark.parametrize("bound", [0, 100_000])
+def test_hot_host_equals_its_pages_in_parts(spark, monkeypatch, bound):
+    """One host with all pages in many structures, on both sides of the bound for broadcasting."""
+    monkeypatch.setattr(main_body, "MAX_BROADCAST", bound)
+    rows = []
+    for n in range(300):
+        p = prose(n, 20)
+        parts = [f'<div class="ad{k}"><p>Advert number {k} of this site</p></div>' for k in range(6) if n >> k & 1]
+        lines = [f"Advert number {k} of this site" for k in range(6) if n >> k & 1]
+        rows.append((n, "https://hot.example/x", f'<html><body>{"".join(parts)}<div class="text"><p>{p}</p></div></body></html>', "T", "\n".join([*lines, p])))
+    df = spark.createDataFrame(rows, "fetch_id bigint, url string, raw_html string, title string, text string")
+    got = {(r["fetch_id"], r["line_no"]): r["main"] for r in main_body.classified(df, "fetch_id", "url", "raw_html", "title", "text").collect()}
+    assert got == {(n, k + 1): k == bin(n & 63).count("1") for n in range(300) for k in range(bin(n & 63).count("1") + 1)}
