@@ -153,8 +153,11 @@ def continuations(docs: DataFrame, cand: DataFrame, key: str, text: str, most: i
         return docs.sparkSession.createDataFrame([], "a bigint, b bigint, following string")
     # each document by the hash of its first 2^k characters, for every k that a candidate has
     starts = F.filter(F.array(*[F.when(F.length("text") >= 1 << n, F.struct(F.lit(n).alias("k"), start_hash(F.col("text"), F.lit(1 << n)).alias("start"))) for n in sizes]), lambda x: x.isNotNull())
-    met = rows.select("doc_id", F.explode(starts).alias("s")).select("doc_id", "s.k", "s.start").join(small(keys, most), ["k", "start"], "left_semi").select("doc_id").distinct()
-    near = rows.join(small(cut(met), most), "doc_id", "left_semi")
+    met = cut(rows.select("doc_id", F.xxhash64("text").alias("t"), F.explode(starts).alias("s")).select("doc_id", "t", "s.k", "s.start").join(small(keys, most), ["k", "start"], "left_semi"))
+    # a start that only one text has leads nowhere
+    several = met.groupBy("k", "start").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("k", "start")
+    ids = cut(met.join(small(several, most), ["k", "start"], "left_semi").select("doc_id").distinct())
+    near = rows.join(small(ids, most), "doc_id", "left_semi")
     # equal texts are one; a candidate's copies share its hash
     texts = cut(near.groupBy(text_hash(F.col("text")).alias("h")).agg(F.min("text").alias("text")).select("h.a", "h.b", "text"))
     placed = texts.repartitionByRange(F.col("text").desc()).sortWithinPartitions(F.col("text").desc())
