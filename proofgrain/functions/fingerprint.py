@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -30,9 +31,20 @@ def simhash(text: Column) -> Column:
     return _vote(token_set(text))
 
 
-def blocks(h: Column) -> Column:
-    """The four 16-bit blocks of a fingerprint, each with its index."""
-    return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(h, 48 - 16 * i).bitwiseAND(F.lit(0xFFFF)).alias("value")) for i in range(4)])
+def blocks(h: Column, threshold: int = 3) -> Column:
+    """Parts of a fingerprint of which two within ``threshold`` bits share one at least, each with its index.
+
+    The 64 bits are cut into threshold + 3 blocks; bits that differ touch at most
+    ``threshold`` of them, so three blocks agree at least, and a part is any three
+    blocks. At a threshold of 3 a part has 32 bits, so hardly any unlike
+    fingerprints meet, however many there are.
+    """
+    n = threshold + 3
+    edges = [64 * i // n for i in range(n + 1)]
+    mask = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(n)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    parts = [signed(mask[i] | mask[j] | mask[k]) for i, j, k in combinations(range(n), 3)]
+    return F.array(*[F.struct(F.lit(i).alias("block"), h.bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(parts)])
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -11,13 +11,13 @@ from proofgrain.functions.text import filled
 ACADEMIC_HOSTS = ("arxiv", "scholar.google.", "cnki", "wanfang", "pubmed", "ncbi.nlm.nih.gov", "nlm.nih.gov", "doi.org", "crossref.org", "semanticscholar.org", "researchgate.net", "ieee.org", "acm.org", "springer.com", "wiley.com", "sciencedirect.com", "nature.com", "biorxiv.org", "medrxiv.org", "ssrn.com", "jstor.org")
 GOV_MARKS = ("gov", "people.com", "news.cn")
 SELF_MEDIA_MARKS = ("weibo", "zhihu", "toutiao", "mp.weixin")
-FORUM_MARKS = ("stackoverflow", "tieba", "/forum")
+FORUM_MARKS = ("stackoverflow", "tieba", "forum")
 CHALLENGE_MARKS = ("cf-chl", "challenges.cloudflare.com", "cf-turnstile", "checking your browser", "enable cookies and javascript", "are you a human", "just a moment", "captcha")
 LOGIN_MARKS = ("/login", "/signin", "/auth", "paywall", "/subscribe", "member only", "/member")
 HARD_BLOCK_MARKS = ("status 429", "status 503", "status 403", "challenge", "captcha")
-SERP_PARAMS = ("aq", "i", "keyword", "kw", "p", "q", "qt", "query", "search", "text", "type", "wd")
+SERP_PARAMS = ("q", "query", "wd", "keyword", "p", "text", "i", "search", "aq", "qt", "type", "kw")
 SERP_PATHS = ("/s", "/search", "/web", "/html", "/so", "/weixin", "/sorry", "/search.naver")
-SERP_HOSTS = ("360.com", "baidu.com", "bing.com", "cn.bing.com", "duckduckgo.com", "google.com", "google.com.hk", "html.duckduckgo.com", "jisilu.cn", "so.com", "so.toutiao.com", "sogou.com", "weixin.sogou.com", "www.baidu.com", "www.bing.com", "www.google.com", "www.sogou.com")
+SERP_HOSTS = ("baidu.com", "www.baidu.com", "cn.bing.com", "www.bing.com", "bing.com", "sogou.com", "www.sogou.com", "weixin.sogou.com", "duckduckgo.com", "html.duckduckgo.com", "google.com", "www.google.com", "google.com.hk", "so.com", "360.com", "so.toutiao.com", "jisilu.cn")
 LINK_HOSTS = ("link.zhihu.com", "link.juejin.cn", "link.csdn.net")
 
 
@@ -35,19 +35,22 @@ def path_of(url: Column) -> Column:
 
 
 def query_keys(url: Column) -> Column:
-    q = F.regexp_extract(filled(url), r"^[^?#]*\?([^#]*)", 1)
-    return F.transform(F.filter(F.split(q, "&", -1), lambda p: p.contains("=")), lambda p: F.substring_index(p, "=", 1))
+    """Names of the query's parameters in lower case; one without a value counts."""
+    q = F.lower(F.regexp_extract(filled(url), r"^[^?#]*\?([^#]*)", 1))
+    return F.transform(F.filter(F.split(q, "&", -1), lambda p: p != ""), lambda p: F.substring_index(p, "=", 1))
 
 
 def source_type(url: Column) -> Column:
     """academic, gov, selfmedia, forum or unknown, by host and address."""
-    u, host = F.lower(filled(url)), domain_of(url)
+    u = F.lower(filled(url))
+    host = F.coalesce(F.nullif(domain_of(url), F.lit("")), u)  # an address without a scheme is its own host
     return (F.when(host.rlike(any_of(ACADEMIC_HOSTS)), "academic").when(u.rlike(any_of(GOV_MARKS)), "gov")
             .when(u.rlike(any_of(SELF_MEDIA_MARKS)), "selfmedia").when(u.rlike(any_of(FORUM_MARKS)), "forum").otherwise("unknown"))
 
 
 def is_serp(url: Column) -> Column:
-    path = path_of(url)
+    """A search engine's result page: by the start of its path or by a parameter, in any case of letters."""
+    path = F.lower(path_of(url))
     starts = F.lit(False)
     for p in SERP_PATHS:
         starts = starts | path.startswith(p)

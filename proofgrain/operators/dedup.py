@@ -25,20 +25,20 @@ def fingerprints(docs: DataFrame, part: str, ident: str) -> DataFrame:
 
 
 def candidate_pairs(fp: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a before b by id order) of one part that share a block and differ in few bits.
+    """Pairs of distinct fingerprints of one part that differ in ``threshold`` bits or less: all of them, at any threshold.
 
-    An equi-join on the blocks of distinct fingerprints; rows of one fingerprint
+    An equi-join on parts of the fingerprints, one of which a pair must share; rows of one fingerprint
     are paired to their first row only, so a hot fingerprint costs its rows.
     """
     uniq = fp.groupBy("part", "h").agg(F.min("ord").alias("ord"))
-    x = uniq.select("part", "h", "ord", F.explode(blocks(F.col("h"))).alias("b")).select("part", "h", "ord", "b.block", "b.value")
+    x = uniq.select("part", "h", "ord", F.explode(blocks(F.col("h"), threshold)).alias("b")).select("part", "h", "ord", "b.block", "b.value")
     y = x.select("part", F.col("h").alias("h2"), F.col("ord").alias("ord2"), "block", "value")
     return x.join(y, ["part", "block", "value"]).where((F.col("h") < F.col("h2")) & (hamming(F.col("h"), F.col("h2")) <= threshold)).select("part", "h", "h2").distinct()
 
 
 def near_dup(docs: DataFrame, part: str, ident: str, threshold: int = 3) -> DataFrame:
     """part, id of the documents kept: each unless an earlier kept one of its part has
-    its address or a fingerprint that shares a block and differs in ``threshold`` bits or less.
+    its address or a fingerprint that differs in ``threshold`` bits or less.
 
     That is the first maximal independent set of the conflict graph by order.
     Pairs exist between distinct fingerprints only; documents meet by the least

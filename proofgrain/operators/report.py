@@ -80,13 +80,25 @@ def citations(sources: DataFrame, fmt: str = "bibtex") -> DataFrame:
         "csl": F.concat(F.lit('  {\n    "title": '), _quoted(F.col("label")), F.lit(',\n    "URL": '), _quoted(F.col("url")), F.lit("\n  }")),
     }.get(fmt)
     if item is None:
-        item = F.concat(F.lit("@misc{src"), n, F.lit(",\n  title = {"), "label", F.lit("},\n  howpublished = {"), "url", F.lit("},\n  note = {"), F.coalesce("source_type", F.lit("web")), F.lit("}\n}"))
+        item = _bibtex(c, n)
     head, sep, tail = {"md": ("\n## 引用\n\n", "\n", "\n"), "csl": ("[\n", ",\n", "\n]")}.get(fmt, ("", "\n", "\n"))
     joined = F.array_join(ordered(item, F.col("n")), sep)
     joined = F.regexp_replace(joined, r"\s+$", "") if fmt == "ris" else joined
     return c.groupBy("query_id").agg(F.concat(F.lit(head), joined, F.lit(tail)).alias("content"))
 
 
+def _bibtex(c: DataFrame, n: Column) -> Column:
+    """An entry: an article if the citation (a map of strings, where the sources have one) has a DOI, else misc with what the citation names in its note."""
+    given = lambda k: F.nullif(F.try_element_at("citation", F.lit(k)), F.lit("")) if "citation" in c.columns else F.lit(None).cast("string")
+    key = F.coalesce(given("key"), F.concat(F.lit("src"), n))
+    named = F.filter(F.array(*[F.concat(F.lit(f"{k}="), given(k)) for k in ("stock_code", "repo", "source")]), lambda x: x.isNotNull())
+    note = F.when(F.size(named) > 0, F.array_join(named, "; ")).otherwise(F.coalesce("source_type", F.lit("web")))
+    misc = F.concat(F.lit("@misc{"), key, F.lit(",\n  title = {"), "label", F.lit("},\n  howpublished = {"), "url", F.lit("},\n  note = {"), note, F.lit("}\n}"))
+    article = F.concat(F.lit("@article{"), key, F.lit(",\n  title = {"), "label", F.lit("},\n  author = {"), F.coalesce(given("authors"), F.lit("unknown")), F.lit("},\n  year = {"), F.coalesce(given("year"), F.lit("n.d.")),
+                       F.lit("},\n  doi = {"), given("doi"), F.lit("},\n  url = {"), "url", F.lit("}\n}"))
+    return F.when(given("doi").isNotNull(), article).otherwise(misc)
+
+
 def _quoted(c: Column) -> Column:
     """A JSON string."""
     return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)

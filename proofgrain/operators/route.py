@@ -28,19 +28,19 @@ RESEARCH_COMPARE = ("对比", "区别", "分析", "评估", "方案", "研究",
 DEPTH = {"quick": "L1", "standard": "L2", "deep": "L3"}
 # Topics and their words with weights.
 TOPICS = {
-    "academic": "论文:2 文献:2 doi:2 引用:1 研究:1 预印本:2 arxiv:2 期刊:2 综述:2 学术:2 书评:1 paper:1 article:1 citation:1 preprint:2 journal:1 research:1 scholar:1",
-    "dev": "html:2 css:2 javascript:2 js:2 web标准:2 web_标准:2 规范:1 rfc:2 api规范:2 unicode:2 tc39:2 mdn:2 前端:1 后端:1 编程:1 代码规范:1 html5:1 css3:1 standard:1 spec:1 ecmascript:2",
-    "finance": "股价:2 股票:2 财报:2 主力:2 净流入:2 市值:2 市盈率:2 营收:2 净利润:2 金融:1 基金:1 etf:1 上市公司:2 证券:2 年报:1 stock:1 earnings:1 revenue:1 market_cap:1 pe_ratio:1 10-k:2 sec:1",
-    "macro": "gdp:2 通胀:2 通货膨胀:2 cpi:2 宏观经济:2 经济增长:2 失业率:2 世界经济:1 imf:2 oecd:2 经济:1 economy:1 inflation:1 unemployment:1 货币政策:1 gdp增长:2",
-    "health": "疾病:2 临床:2 药物:2 疫苗:2 流行病学:2 who:2 cdc:2 医疗:1 症状:1 治疗:1 临床试验:2 药品:1 公卫:2 disease:1 clinical:1 drug:1 vaccine:1 trial:1 epidemic:1 health:1 fda:2 药监:2",
-    "legal": "法律:2 法规:2 法条:2 判例:2 法院:2 立法:2 合规:2 司法解释:2 法规数据库:2 legal:1 law:1 statute:1 case_law:1 regulation:1 court:1",
-    "gov": "统计:2 人口:2 普查:2 社融:1 开放数据:1 政府数据:1 statistics:1 population:1 census:1 government:1 dataset:1 欧盟数据:1 英国政府:1 美国政府:1",
-    "climate": "气候:2 气象:2 卫星:2 气温:2 碳排放:2 海洋:2 地质:2 地球科学:1 climate:1 weather:1 satellite:1 carbon:1 earth:1 space:1 nasa:2 noaa:2 usgs:1",
-    "privacy": "隐私:2 匿名:1 privacy:1 独立索引:1",
-    "cn_official": "国标:2 国家标准:2 国家法律法规:2 中国企业:1 信用记录:1 中文文献:1 中文学术:1 科技文献:1 科学数据:1 国家药监:1 卫健委:1 自然科学基金:1 中科院:1",
-    "corp": "公司信用:2 企业信用:2 工商:1 企业信息:1",
+    "academic": (("论文", 2), ("文献", 2), ("doi", 2), ("引用", 1), ("研究", 1), ("预印本", 2), ("arxiv", 2), ("期刊", 2), ("综述", 2), ("学术", 2), ("书评", 1), ("paper", 1), ("article", 1), ("citation", 1), ("preprint", 2), ("journal", 1), ("research", 1), ("scholar", 1)),
+    "dev": (("html", 2), ("css", 2), ("javascript", 2), ("js", 2), ("web标准", 2), ("web 标准", 2), ("规范", 1), ("rfc", 2), ("api规范", 2), ("unicode", 2), ("tc39", 2), ("mdn", 2), ("前端", 1), ("后端", 1), ("编程", 1), ("代码规范", 1), ("html5", 1), ("css3", 1), ("standard", 1), ("spec", 1), ("ecmascript", 2)),
+    "finance": (("股价", 2), ("股票", 2), ("财报", 2), ("主力", 2), ("净流入", 2), ("市值", 2), ("市盈率", 2), ("营收", 2), ("净利润", 2), ("金融", 1), ("基金", 1), ("etf", 1), ("上市公司", 2), ("证券", 2), ("年报", 1), ("stock", 1), ("earnings", 1), ("revenue", 1), ("market cap", 1), ("pe ratio", 1), ("10-k", 2), ("sec", 1)),
+    "macro": (("gdp", 2), ("通胀", 2), ("通货膨胀", 2), ("cpi", 2), ("宏观经济", 2), ("经济增长", 2), ("失业率", 2), ("世界经济", 1), ("imf", 2), ("oecd", 2), ("经济", 1), ("economy", 1), ("inflation", 1), ("unemployment", 1), ("货币政策", 1), ("gdp增长", 2)),
+    "health": (("疾病", 2), ("临床", 2), ("药物", 2), ("疫苗", 2), ("流行病学", 2), ("who", 2), ("cdc", 2), ("医疗", 1), ("症状", 1), ("治疗", 1), ("临床试验", 2), ("药品", 1), ("公卫", 2), ("disease", 1), ("clinical", 1), ("drug", 1), ("vaccine", 1), ("trial", 1), ("epidemic", 1), ("health", 1), ("fda", 2), ("药监", 2)),
+    "legal": (("法律", 2), ("法规", 2), ("法条", 2), ("判例", 2), ("法院", 2), ("立法", 2), ("合规", 2), ("司法解释", 2), ("法规数据库", 2), ("legal", 1), ("law", 1), ("statute", 1), ("case law", 1), ("regulation", 1), ("court", 1)),
+    "gov": (("统计", 2), ("人口", 2), ("普查", 2), ("社融", 1), ("开放数据", 1), ("政府数据", 1), ("statistics", 1), ("population", 1), ("census", 1), ("government", 1), ("dataset", 1), ("欧盟数据", 1), ("英国政府", 1), ("美国政府", 1)),
+    "climate": (("气候", 2), ("气象", 2), ("卫星", 2), ("气温", 2), ("碳排放", 2), ("海洋", 2), ("地质", 2), ("地球科学", 1), ("climate", 1), ("weather", 1), ("satellite", 1), ("carbon", 1), ("earth", 1), ("space", 1), ("nasa", 2), ("noaa", 2), ("usgs", 1)),
+    "privacy": (("隐私", 2), ("匿名", 1), ("privacy", 1), ("独立索引", 1)),
+    "cn_official": (("国标", 2), ("国家标准", 2), ("国家法律法规", 2), ("中国企业", 1), ("信用记录", 1), ("中文文献", 1), ("中文学术", 1), ("科技文献", 1), ("科学数据", 1), ("国家药监", 1), ("卫健委", 1), ("自然科学基金", 1), ("中科院", 1)),
+    "corp": (("公司信用", 2), ("企业信用", 2), ("工商", 1), ("企业信息", 1)),
 }
-TOPIC_WORDS = [(t, w.rpartition(":")[0].replace("_", " "), int(w.rpartition(":")[2])) for t, ws in TOPICS.items() for w in ws.split(" ")]
+TOPIC_WORDS = [(t, w, n) for t, ws in TOPICS.items() for w, n in ws]
 
 
 def override(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from proofgrain.functions.finance import fmt_field, fmt_yuan
-from proofgrain.functions.text import rounded
+from proofgrain.functions.text import filled, rounded
 
 
 def latest(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
@@ -76,9 +76,14 @@ def quote_text(quotes: DataFrame) -> DataFrame:
     return quotes.select("code", F.concat_ws("\n", F.concat(F.lit("# 行情："), "name", F.lit("("), "code", F.lit(")")), head, F.lit("## 近半年日K（末10交易日）"), bars, F.lit("## 主力资金流（末5交易日）"), flows).alias("text"))
 
 
-def report_text(reports: DataFrame) -> DataFrame:
-    """code, text of report rows (code, day, revenue, growth): the latest period, then up to five years, newest first."""
-    line = F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit(" 营业收入 "), fmt_yuan(F.col("revenue")), F.lit(" 同比 "), fmt_field(F.col("growth"), 1.0, "%"))
-    newest = latest(reports, "code", ["day"], 1).select("code", F.concat(F.lit("最新报告期 "), line).alias("head"))
-    years = annual(reports, "code", "day", "day").select("code", F.struct("rn", line.alias("l")).alias("x")).groupBy("code").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["l"]), "\n").alias("years"))
+def report_text(reports: DataFrame, year_end: str = "12-31") -> DataFrame:
+    """code, text of report rows (code, day, revenue, growth and, as far as known, name, profit, profit_growth, eps, roe, assets): the latest period, then up to five years, newest first."""
+    reports = reports.select("*", *[F.lit(None).cast("string").alias(c) for c in ("name", "profit", "profit_growth", "eps", "roe", "assets") if c not in reports.columns])
+    pct = lambda c: F.when(F.col(c).isNull(), "—").otherwise(fmt_field(F.col(c), 1.0, "%"))
+    day = F.date_format("day", "yyyy-MM-dd")
+    head = F.concat(F.lit("# 财报："), filled("name"), F.lit("("), "code", F.lit(")\n最新报告期: "), day, F.lit("\n营业收入: "), fmt_yuan(F.col("revenue")), F.lit("（同比 "), pct("growth"), F.lit("）\n归母净利润: "), fmt_yuan(F.col("profit")), F.lit("（同比 "), pct("profit_growth"),
+                    F.lit("）\n基本每股收益: "), fmt_field(F.col("eps")), F.lit(" 元  加权平均ROE: "), pct("roe"), F.lit("  每股净资产: "), fmt_field(F.col("assets")), F.lit(" 元\n\n近年年度业绩（单位：亿元 / 元；同比%）："))
+    line = F.concat(F.lit("- "), day, F.lit("：营收 "), fmt_yuan(F.col("revenue")), F.lit("（同比 "), pct("growth"), F.lit("） | 归母净利润 "), fmt_yuan(F.col("profit")), F.lit("（同比 "), pct("profit_growth"), F.lit("） | EPS "), fmt_field(F.col("eps")), F.lit(" | ROE "), pct("roe"))
+    newest = latest(reports, "code", ["day"], 1).select("code", head.alias("head"))
+    years = annual(reports, "code", "day", "day", year_end).select("code", F.struct("rn", line.alias("l")).alias("x")).groupBy("code").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["l"]), "\n").alias("years"))
     return newest.join(years, "code", "left").select("code", F.concat_ws("\n", "head", "years").alias("text"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofgrain.plans import events, evidence, routing, texts
+from proofgrain.plans import events, evidence, routing, sourcing, texts
 
-MODULES = (texts, evidence, routing, events)
+MODULES = (texts, evidence, routing, events, sourcing)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from proofgrain.functions import finance
 from proofgrain.functions.text import rounded
 from proofgrain.operators import series
-from proofgrain.session import read_table
+from proofgrain.session import cut, read_table, remove, shared_folder
 from proofgrain.streaming import state
 
 SQL: dict[str, str] = {}
@@ -81,6 +81,12 @@ def throttle_waits(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("event_id", rounded(F.col("wait"), 6).alias("wait"))
 
 
+SQL["throttle_waits"] = """with l as (select user_id, list({'i': event_id, 't': epoch_us(ts) / 1000000.0::double, 'w': 0.0::double, 'z': epoch_us(ts) / 1000000.0::double} order by ts, event_id) as l from events group by user_id),
+  f as (select unnest(list_reduce(list_transform(l, lambda x: [x]), lambda a, b: list_append(a, {'i': b[1].i, 't': b[1].t, 'w': least(greatest(14.0::double - (b[1].t - a[-1].z), 0.0::double), 5.0::double),
+    'z': b[1].t + least(greatest(14.0::double - (b[1].t - a[-1].z), 0.0::double), 5.0::double)}))) as r from l)
+  select r.i as event_id, floor(r.w * 1000000.0 + 0.5) / 1000000.0 as wait from f"""
+
+
 def trace_summary(spark: SparkSession, sf: str) -> DataFrame:
     e = read_table(spark, sf, "events")
     return e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"), F.count_distinct("user_id").alias("users"))
@@ -116,19 +122,48 @@ SQL["session_windows"] = """with a as (select *, case when ts < lag(ts) over w +
   b as (select *, sum(start) over (partition by user_id order by ts, event_id rows unbounded preceding) as s from a), c as (select user_id, s, count(*) as n from b group by all) select user_id, count(*) as sessions, max(n) as longest from c group by user_id"""
 
 
-def streamed_first_seen(spark: SparkSession, sf: str) -> DataFrame:
-    """First-wins removal of documents' addresses, run as a stream over the stored file, equal to the batch result."""
-    src = spark.readStream.schema(spark.read.parquet(f"{sf}/documents.parquet").schema).parquet(f"{sf}/documents.parquet*")
-    keyed = src.where("url is not null").select("url", "doc_id")
-    out = tempfile.mkdtemp(prefix="proofgrain-stream-") if spark.conf.get("spark.checkpoint.dir", None) is None else f"{spark.conf.get('spark.checkpoint.dir')}/stream-{spark.sparkContext.applicationId}-{id(src)}"
-    q = keyed.dropDuplicates(["url"]).select("url").writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+def _streamed(spark: SparkSession, source: DataFrame, schema: str) -> DataFrame:
+    """The rows a stream gives until its source is worked off, through the shared folder."""
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    q = source.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema("url string").parquet(f"{out}/rows")
+    rows = cut(spark.read.schema(schema).parquet(f"{out}/rows"))
+    remove(spark, out)
+    return rows
+
+
+def _stream(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    return spark.readStream.schema(spark.read.parquet(f"{sf}/{table}.parquet").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/{table}.parquet*")
+
+
+def streamed_first_seen(spark: SparkSession, sf: str) -> DataFrame:
+    """First-wins removal of documents' addresses as a stream: state is kept for the watermark only."""
+    keyed = _stream(spark, sf, "documents").where("url is not null").select("url", F.coalesce(F.col("fetched_at").cast("timestamp"), F.lit("2000-01-01").cast("timestamp")).alias("ts"))
+    return _streamed(spark, state.first_seen(keyed, "url", "3650 days").select("url"), "url string")
 
 
 SQL["streamed_first_seen"] = "select distinct url from documents where url is not null"
 
 
+def streamed_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Events an hour and type, counted by a stream; windows the watermark hasn't passed yet stay open, so only those two hours before the last event count."""
+    e = _stream(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.lit(1.0).alias("value"))
+    d = _streamed(spark, state.windowed_counts(e, "2 hours"), "start timestamp, event_type string, n bigint, v double")
+    return d.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
+
+
+SQL["streamed_windows"] = """select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as start, event_type, count(*) as n from events where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) from events) - interval 2 hours group by 1, 2"""
+
+
+def streamed_ttl(spark: SparkSession, sf: str) -> DataFrame:
+    """Views that a purchase of the hour before answers, by state with a time to live."""
+    e = _stream(spark, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    return _streamed(spark, state.ttl_state(e, 3600), "user_id bigint, event_id bigint, hit boolean").select("event_id", "hit")
+
+
+SQL["streamed_ttl"] = SQL["cache_hits"]
+
+
 def late_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Facts by source, and how many came in over a day after they were checked."""
     f = read_table(spark, sf, "fact_verdicts").withColumn("lag", F.unix_micros(F.col("ingested_at").cast("timestamp")) - F.unix_micros(F.col("checked_at").cast("timestamp")))
@@ -145,4 +180,4 @@ def verdict_cube(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL["verdict_cube"] = "select verdict, reason, count(*) as n, grouping(verdict, reason)::int as level from fact_verdicts group by cube (verdict, reason)"
 
-QUERIES = [annual_reports, latest_bars, amounts, payload_values, cooldowns, cache_hits, throttle_waits, trace_summary, as_of_values, hourly_windows, session_windows, streamed_first_seen, late_facts, verdict_cube]
+QUERIES = [annual_reports, latest_bars, amounts, payload_values, cooldowns, cache_hits, throttle_waits, trace_summary, as_of_values, hourly_windows, session_windows, streamed_first_seen, streamed_windows, streamed_ttl, late_facts, verdict_cube]

@@ -69,7 +69,7 @@ SQL["url_first"] = "select query_id, fetch_id from serp_docs qualify coalesce(ur
 
 def _by_source(spark: SparkSession, sf: str) -> DataFrame:
     """The retrieved documents as a source's list, in order of id."""
-    return read_table(spark, sf, "documents").select("source", "doc_id", F.col("doc_id").alias("pos"), "url", F.substring("text", 1, 800).alias("snippet"), "title")
+    return read_table(spark, sf, "documents").select("source", "doc_id", F.col("doc_id").alias("pos"), "url", F.col("text").alias("snippet"), "title")
 
 
 def near_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,7 +79,7 @@ def near_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(F.col("part").alias("source"), F.least(hexed(F.col("h")), hexed(F.col("h2"))).alias("hash_a"), F.greatest(hexed(F.col("h")), hexed(F.col("h2"))).alias("hash_b"))
 
 
-DOC_HASHES = HASHES.replace("serp_docs", "documents").replace("fetch_id", "doc_id").replace("s.query_id, s.pos", "s.source").replace("coalesce(snippet, '')", "coalesce(substring(text, 1, 800), '')")
+DOC_HASHES = HASHES.replace("serp_docs", "documents").replace("fetch_id", "doc_id").replace("s.query_id, s.pos", "s.source").replace("coalesce(snippet, '')", "coalesce(text, '')")
 SQL["near_pairs"] = f"""with {DOC_HASHES} select distinct a.source, lower(lpad(to_hex(a.h), 16, '0')) as hash_a, lower(lpad(to_hex(b.h), 16, '0')) as hash_b
   from (select distinct source, h from hashes) a join (select distinct source, h from hashes) b on a.source = b.source and a.h < b.h and bit_count(xor(a.h, b.h)) <= 3"""
 

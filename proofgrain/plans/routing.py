@@ -80,7 +80,7 @@ def routed_sources(spark: SparkSession, sf: str) -> DataFrame:
     return route.select_sources(route.topics(q), q, registry.registry(spark).where(registry.active("standard")))
 
 
-_reg = ", ".join("({}, '{}', '{}', '{}', [{}], {})".format(r[0], r[1], r[2], r[4], ", ".join(f"'{t}'" for t in r[10]), "true" if r[9] is None and r[4] != "keyed" and r[2] in registry.WIDE else "false") for r in registry.builtin())
+_reg = ", ".join("({}, '{}', '{}', '{}', [{}], {})".format(r["ordinal"], r["id"], r["category"], r["access"], ", ".join(f"'{t}'" for t in r["topics"]), "true" if r["gate"] is None and r["access"] != "keyed" and r["category"] in registry.WIDE else "false") for r in registry.builtin())
 SQL["routed_sources"] = f"""with {TOPICS}, r(ordinal, id, category, access, topics, on_) as (values {_reg}), a as (select *, category in ('intl_engines', 'reference') or access = 'keyed' as core from r where on_),
   e as (select t.query_id, a.id, a.ordinal, max(t.score) as score from (select id, ordinal, unnest(topics) as topic from a where not core) a join topics t using (topic) group by all)
   select query_id, id, 'core' as kind from research_queries, a where core union all
@@ -118,7 +118,7 @@ def request_urls(spark: SparkSession, sf: str) -> DataFrame:
     return r
 
 
-SQL["request_urls"] = "select id, replace(replace(url_template, '{q}', 'a+b%2Fc'), '{token}', '') as request from source_registry"
+SQL["request_urls"] = "select id, replace(replace(url_template, '{q}', 'a%20b/c'), '{token}', '') as request from source_registry"
 
 
 def stock_codes(spark: SparkSession, sf: str) -> DataFrame:

@@ -65,13 +65,19 @@ def url_classes(spark: SparkSession, sf: str) -> DataFrame:
                                                      url.is_login_wall(u).alias("login"), url.is_challenge(F.col("raw_html")).alias("challenge"))
 
 
-_starts = " or ".join(f"starts_with({PATH.format('url')}, '{p}')" for p in url.SERP_PATHS)
-_keys = "list_transform(list_filter(string_split(regexp_extract(coalesce(url, ''), '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: contains(p, '=')), lambda p: string_split(p, '=')[1])"
-SQL["url_classes"] = f"""select fetch_id, {DOMAIN.format('url')} as domain,
-  case when regexp_matches({DOMAIN.format('url')}, '{url.any_of(url.ACADEMIC_HOSTS)}') then 'academic' when regexp_matches(lower(coalesce(url, '')), '{url.any_of(url.GOV_MARKS)}') then 'gov'
-       when regexp_matches(lower(coalesce(url, '')), '{url.any_of(url.SELF_MEDIA_MARKS)}') then 'selfmedia' when regexp_matches(lower(coalesce(url, '')), '{url.any_of(url.FORUM_MARKS)}') then 'forum' else 'unknown' end as kind,
-  ({_starts} or list_has_any({_keys}, {list(url.SERP_PARAMS)})) as serp, regexp_matches(lower(coalesce(url, '')), '{url.any_of(url.LOGIN_MARKS)}') as login,
-  regexp_matches(lower(coalesce(raw_html, '')), '{url.any_of(url.CHALLENGE_MARKS)}') as challenge from serp_docs"""
+# written out, not built from the tables of functions/url.py, so that a slip there shows
+SQL["url_classes"] = rf"""with u as (select fetch_id, url, lower(coalesce(url, '')) as low, {DOMAIN.format('url')} as domain, lower({PATH.format('url')}) as path, raw_html,
+    list_transform(list_filter(string_split(lower(regexp_extract(coalesce(url, ''), '^[^?#]*\?([^#]*)', 1)), '&'), lambda p: p <> ''), lambda p: string_split(p, '=')[1]) as keys from serp_docs)
+  select fetch_id, domain,
+    case when regexp_matches(coalesce(nullif(domain, ''), low), 'arxiv|scholar\.google\.|cnki|wanfang|pubmed|ncbi\.nlm\.nih\.gov|nlm\.nih\.gov|doi\.org|crossref\.org|semanticscholar\.org|researchgate\.net|ieee\.org|acm\.org|springer\.com|wiley\.com|sciencedirect\.com|nature\.com|biorxiv\.org|medrxiv\.org|ssrn\.com|jstor\.org') then 'academic'
+      when contains(low, 'gov') or contains(low, 'people.com') or contains(low, 'news.cn') then 'gov'
+      when contains(low, 'weibo') or contains(low, 'zhihu') or contains(low, 'toutiao') or contains(low, 'mp.weixin') then 'selfmedia'
+      when contains(low, 'stackoverflow') or contains(low, 'tieba') or contains(low, 'forum') then 'forum' else 'unknown' end as kind,
+    (starts_with(path, '/s') or starts_with(path, '/web') or starts_with(path, '/html') or starts_with(path, '/weixin')
+      or list_has_any(keys, ['q', 'query', 'wd', 'keyword', 'p', 'text', 'i', 'search', 'aq', 'qt', 'type', 'kw'])) as serp,
+    regexp_matches(low, '/login|/signin|/auth|paywall|/subscribe|member only|/member') as login,
+    regexp_matches(lower(coalesce(raw_html, '')), 'cf-chl|challenges\.cloudflare\.com|cf-turnstile|checking your browser|enable cookies and javascript|are you a human|just a moment|captcha') as challenge
+  from u"""
 
 
 def page_titles(spark: SparkSession, sf: str) -> DataFrame:

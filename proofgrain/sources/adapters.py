@@ -35,6 +35,8 @@ def inverted_index(c: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " "), F.lit(""))
 
 
+#: Fixed value: title of the statistics office's one row.
+NBS_TITLE = "国家统计局（结构化统计数据，需指标代码深化）"
 Spec = tuple[str, Callable[[Column], Column], Callable[[Column], Column], Callable[[Column], Column]]
 none = lambda v: F.lit("")
 #: name -> (path of the items, url, title, snippet).
@@ -69,6 +71,57 @@ def adapt(payloads: DataFrame, name: str, limit: int | None = None) -> DataFrame
     return d.select("query_id", "pos", norm_url(url(F.col("v"))).alias("url"), filled(title(F.col("v"))).alias("title"), filled(snippet(F.col("v"))).alias("snippet")).where("url is not null")
 
 
+#: Items that an adapter takes of a payload at most, where it has a limit.
+LIMITS = {"repositories": 10}
+
+
+def adapt_mixed(payloads: DataFrame, sources: DataFrame, paths: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, source, pos, url, title, snippet of the items of payloads of any sources, in one plan.
+
+    ``payloads`` has query_id, source, q, base (the address asked) and payload;
+    ``sources`` is a registry (a table of fixed size). A source with a named adapter
+    goes by it, another one with JSON by its path and field map (``paths``: the
+    different paths of the registry), pages by their links. Payloads are parsed and
+    exploded once, whatever the number of adapters.
+    """
+    known = sources.select(F.col("id").alias("source"), "adapter", "json_items", "item_map")
+    p = payloads.join(F.broadcast(known), "source").withColumn("json", F.try_parse_json("payload"))
+    a, v = F.col("adapter"), F.col("v")
+    items, urls, titles, snippets, caps = [F.lit(None).cast(t) for t in ("array<variant>", "string", "string", "string", "int")]
+    for name, (path, url, title, snippet) in ADAPTERS.items():
+        mine = a == name
+        items = F.when(mine, get(F.col("json"), path, "array<variant>")).otherwise(items)
+        urls, titles, snippets = (F.when(mine, f(v)).otherwise(x) for f, x in ((url, urls), (title, titles), (snippet, snippets)))
+        caps = F.when(mine, F.lit(LIMITS[name])).otherwise(caps) if name in LIMITS else caps
+    for path in paths:
+        items = F.when(a.isNull() & (F.col("json_items") == path), get(F.col("json"), path, "array<variant>")).otherwise(items)
+    fields = get(v, "", "map<string,variant>")
+    field = lambda n: F.try_variant_get(F.try_element_at(fields, F.coalesce(F.try_element_at("item_map", F.lit(n)), F.lit(n))), "$", "string")
+    plain = lambda n: F.try_variant_get(F.try_element_at(fields, F.lit(n)), "$", "string")
+    any_url = F.try_variant_get(F.try_element_at(F.map_values(F.map_filter(fields, lambda k, x: F.try_variant_get(x, "$", "string").startswith("http"))), F.lit(1)), "$", "string")
+    own = a.isNull()
+    urls = F.when(own, first(field("url"), plain("url"), any_url)).otherwise(urls)
+    titles = F.when(own, F.substring(filled(first(field("title"), plain("title"))), 1, 160)).otherwise(titles)
+    snippets = F.when(own, F.substring(filled(first(field("snippet"), plain("snippet"), plain("abstract"))), 1, 300)).otherwise(snippets)
+    caps = F.when(own, F.lit(5)).otherwise(caps)
+    d = p.where("json is not null").select("query_id", "source", "q", "adapter", "item_map", F.posexplode(items).alias("pos", "v")).where(F.coalesce(F.col("pos") < caps, F.lit(True)))
+    rows = d.select("query_id", "source", "pos", norm_url(urls).alias("url"), filled(titles).alias("title"), filled(snippets).alias("snippet")).where("url is not null")
+    office = p.where((a == "nbs") & (F.trim("payload") != "")).select("query_id", "source", F.lit(0).alias("pos"), F.lit("https://data.stats.gov.cn/").alias("url"), F.lit(NBS_TITLE).alias("title"), F.substring("payload", 1, 200).alias("snippet"))
+    pages = p.where("json is null and coalesce(adapter, '') <> 'nbs'").select(F.struct("query_id", "source").alias("query_id"), "base", "payload")
+    links = adapt_links(pages).select("query_id.query_id", "query_id.source", "pos", "url", "title", F.lit("").alias("snippet"))
+    return rows.union(office).union(links)
+
+
+def repository_rows(payloads: DataFrame) -> DataFrame:
+    """query_id, pos, url, text, repo, stars, citation of the first ten repositories of search payloads."""
+    d = payloads.select("query_id", F.posexplode(get(F.try_parse_json("payload"), "items", "array<variant>")).alias("pos", "v")).where(F.col("pos") < LIMITS["repositories"])
+    v = F.col("v")
+    name, stars = filled(get(v, "full_name")), F.coalesce(get(v, "stargazers_count", "bigint"), F.lit(0))
+    text = F.concat(name, F.lit("\n"), filled(get(v, "description")), F.lit("\n⭐"), stars.cast("string"), F.lit("  "), filled(get(v, "language")))
+    citation = F.create_map(F.lit("key"), F.concat(F.lit("github-"), F.replace(name, F.lit("/"), F.lit("-"))), F.lit("repo"), name, F.lit("stars"), stars.cast("string"), F.lit("source"), F.lit("github-api"))
+    return d.select("query_id", "pos", filled(get(v, "html_url")).alias("url"), text.alias("text"), name.alias("repo"), stars.alias("stars"), citation.alias("citation"))
+
+
 def adapt_generic(payloads: DataFrame, json_items: str | None, item_map: dict[str, str] | None = None) -> DataFrame:
     """As ``adapt`` for sources described by a path and a field map: the first five items.
 

@@ -31,11 +31,19 @@ def write_vault(items: DataFrame, path: str) -> None:
     items.write.mode("append").partitionBy("slug").parquet(path)
 
 
+def read_captured(spark: SparkSession, path: str) -> DataFrame:
+    """source, query_id, payload of stored responses (``<source>__<query id>.<ext>``), by Spark's own file source."""
+    name = F.col("_metadata.file_name")
+    d = spark.read.text(path, wholetext=True).select(F.substring_index(name, "__", 1).alias("source"), F.regexp_extract(name, r"__([0-9]+)(?:\.|$)", 1).try_cast("bigint").alias("query_id"), F.col("value").alias("payload"))
+    return d.where("query_id is not null")
+
+
 class CapturedPayloads(DataSource):
-    """``spark.read.format("captured").option("path", folder)``: one row a stored response.
+    """``spark.read.format("captured").option("path", folder)``: the rows of ``read_captured`` as a source of its own.
 
-    Each file name is ``<source>__<query id>.<ext>``; files are split over tasks.
-    A live transport is the same reader with a fetch in place of the file read.
+    The folder is reached through its file system (file, hdfs, s3, ...), which all
+    machines share; files are split over tasks. A live transport is the same reader
+    with a fetch in place of the file read.
     """
 
     @classmethod
@@ -54,18 +62,19 @@ class _CapturedReader(DataSourceReader):
         self.path, self.per = path, per
 
     def partitions(self) -> list[InputPartition]:
-        import os
+        from pyarrow import fs
 
-        names = sorted(n for n in os.listdir(self.path) if "__" in n)
+        system, root = fs.FileSystem.from_uri(self.path)
+        names = sorted(f.base_name for f in system.get_file_info(fs.FileSelector(root)) if f.is_file and "__" in f.base_name)
         return [InputPartition(names[i: i + self.per]) for i in range(0, len(names), self.per)] or [InputPartition([])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import os
+        from pyarrow import fs
 
+        system, root = fs.FileSystem.from_uri(self.path)
         for n in partition.value:
             source, _, rest = n.partition("__")
             number = rest.split(".")[0]
-            if not number.isdigit():
-                continue
-            with open(os.path.join(self.path, n), encoding="utf-8", errors="replace") as f:
-                yield source, int(number), f.read()
+            if number.isdigit():
+                with system.open_input_stream(f"{root}/{n}") as f:
+                    yield source, int(number), f.read().decode("utf-8", "replace")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofgrain.functions.text import filled, slug
 from proofgrain.operators.report import citations, ordered, vault_items
+from proofgrain.session import existing
 
 #: File by format of citations, and the points of view of an outline.
 FILES = {"md": "references.md", "ris": "references.ris", "csl": "references.csl", "noteexpress": "references.ne", "bibtex": "citations.bib"}
@@ -53,7 +54,5 @@ def save_state(done: DataFrame, path: str) -> None:
 
 def load_state(spark: SparkSession, path: str) -> DataFrame:
     """The saved addresses; none if nothing was saved."""
-    try:
-        return spark.read.parquet(path).distinct()
-    except Exception:  # a first run has no folder
-        return spark.createDataFrame([], "query_id bigint, url string")
+    held = existing(spark, path)
+    return spark.createDataFrame([], "query_id bigint, url string") if held is None else held.distinct()

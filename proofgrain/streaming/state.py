@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from proofgrain.session import existing
+
 
 def windowed_counts(events: DataFrame, watermark: str = "10 minutes", size: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Events and value by window and type; late rows beyond the watermark are dropped."""
@@ -27,33 +29,36 @@ def first_seen(events: DataFrame, key: str, watermark: str = "1 hour") -> DataFr
     return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark([key])
 
 
-def ttl_state(events: DataFrame, ttl_seconds: int) -> DataFrame:
-    """user_id, event_id, hit of reads (view) against the newest write (purchase) of their key.
+def ttl_state(events: DataFrame, ttl_seconds: int, key: str = "user_id", tie: str = "event_id", read: Column | None = None, write: Column | None = None) -> DataFrame:
+    """key, tie, hit of the rows that read, against the newest row before that writes to their key.
 
-    One long of state a key; a key without news for its time to live is dropped.
+    ``read`` and ``write`` say which rows do (by default views read, purchases
+    write). One long of state a key; a key without news for its time to live is
+    dropped. Rows of a key's batch are worked off in order of ts and tie, as whole columns.
     """
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    read = F.col("event_type") == "view" if read is None else read
+    write = F.col("event_type") == "purchase" if write is None else write
+    rows = events.withWatermark("ts", "1 hour").select(key, tie, "ts", F.coalesce(read, F.lit(False)).alias("reads"), F.coalesce(write, F.lit(False)).alias("writes"))
+
+    def step(key_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out, newest = [], None
-        for r in rows.itertuples():
-            t = r.ts.value // 1000
-            newest = t if newest is None else max(newest, t)
-            if r.event_type == "view":
-                out.append((key[0], r.event_id, last is not None and t < last + ttl_seconds * 1_000_000))
-            elif r.event_type == "purchase":
-                last = t
+        held = state.get[0] if state.exists else None
+        d = pd.concat(list(batches)).sort_values(["ts", tie])
+        t = d["ts"].astype("datetime64[us]").astype("int64")
+        written = t.where(d["writes"]).ffill()
+        before = written.shift().fillna(float("nan") if held is None else held)
+        hit = before.notna() & (t < before + ttl_seconds * 1_000_000)
+        last = written.iloc[-1] if written.notna().any() else held
         if last is not None:
-            state.update((last,))
-            at = max(last, newest) // 1000 + ttl_seconds * 1000
+            state.update((int(last),))
+            at = max(int(last), int(t.max())) // 1000 + ttl_seconds * 1000
             if at > state.getCurrentWatermarkMs():
                 state.setTimeoutTimestamp(at)
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "hit"])
+        yield pd.DataFrame({key: key_[0], tie: d[tie], "hit": hit})[d["reads"]]
 
-    return events.withWatermark("ts", "1 hour").groupBy("user_id").applyInPandasWithState(step, "user_id bigint, event_id bigint, hit boolean", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} bigint, {tie} bigint, hit boolean", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def throttle_waits(times: list[float], interval: float, most: float = 5.0) -> list[float]:
@@ -90,12 +95,20 @@ def throttle(events: DataFrame, key: str, ts: str, tie: str, interval: float) ->
     return placed.mapInArrow(run, "k bigint, i bigint, wait double").select(F.col("k").alias(key), F.col("i").alias(tie), "wait")
 
 
-def append_report(batch: DataFrame, path: str) -> None:
-    """foreachBatch body: append the items that the report at ``path`` doesn't hold yet."""
+def append_report(batch: DataFrame, path: str, batch_id: int | None = None) -> None:
+    """foreachBatch body: append the items that the report at ``path`` doesn't hold yet.
+
+    With its number a batch writes its own folder anew, so one that is run again
+    after a failure leaves no item twice and none half written.
+    """
     spark = batch.sparkSession
-    try:
-        written = spark.read.parquet(path).select("item")
-        batch = batch.join(written, "item", "left_anti")
-    except Exception:  # nothing written yet
-        pass
-    batch.dropDuplicates(["item"]).write.mode("append").parquet(path)
+    held = existing(spark, path)
+    if held is not None:
+        if batch_id is not None and "batch" in held.columns:
+            held = held.where(F.col("batch") != batch_id)
+        batch = batch.join(held.select("item"), "item", "left_anti")
+    new = batch.dropDuplicates(["item"])
+    if batch_id is None:
+        new.write.mode("append").parquet(path)
+    else:
+        new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")

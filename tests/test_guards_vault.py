@@ -48,4 +48,4 @@ def test_quotes_and_reports(spark):
     assert "最新价: 1685.00 元  昨收: 1666.00 元  换手: 0.35%  市盈率TTM: —" in t and t.count("涨跌幅") == 9 and "主力净流入5" in t
     rows = [("c", datetime.date(y, m, d), float(y) * 1e6, 1.5) for y in range(2016, 2025) for m, d in ((12, 31), (6, 30))] + [("c", datetime.date(2025, 3, 31), 514.43e8, None)]
     t = series.report_text(spark.createDataFrame(rows, "code string, day date, revenue double, growth double")).first()["text"].split("\n")
-    assert t[0] == "最新报告期 2025-03-31 营业收入 514.43 亿元 同比 —" and len(t) == 6 and t[1].startswith("2024-12-31")
+    assert t[1:3] == ["最新报告期: 2025-03-31", "营业收入: 514.43 亿元（同比 —）"] and len(t) == 12 and t[7].startswith("- 2024-12-31：营收 20.24 亿元（同比 1.50%） | 归母净利润 —")
