@@ -12,9 +12,12 @@ their Hamming distance to it, and a search follows only edges within the radius.
 The shards of the forest are the band keys. They are not broadcast, since the
 forest grows with the corpus: fingerprints are shuffled to their shard, and each
 shard's tree is built and searched where its rows arrive. Trees hold at most
-BLOCK fingerprints; a shard with more is cut into blocks and the pairs of blocks
-are searched in tasks of their own, so nothing is capped and no task holds more
-than two blocks. Pairs found are checked by exact Jaccard similarity.
+BLOCK fingerprints. A shard with more is only packed where it arrives; its blocks
+are laid out as a square of cells (GROUP blocks by GROUP blocks), each block is
+sent to the cells of its row and column, and each cell is searched in a task of
+its own. So nothing is capped, a hot shard is spread over all tasks, a task holds
+two groups of blocks, and no block is sent once for every other block. Pairs found
+are checked by exact Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ BANDS = PASSES * BINS // ROWS
 #: Expected distance at similarity 0.7 is 18 of 120 bits, standard deviation 3.9; the radius is six of them off.
 RADIUS = 42
 BLOCK = 4096
+#: Blocks (98 kB each) on either side of a cell.
+GROUP = 32
 #: Odd multipliers of the passes.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
@@ -147,7 +152,7 @@ def _pairs(batch_pairs: list[tuple[int, int]], blocks: list[tuple]) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(k, pa.int64()), pa.array(i, pa.int32()), pa.array(data, pa.binary())], names=["a", "b", "key", "block", "data"])
 
 
-def search_shards(rows: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def search_shards(rows: DataFrame, radius: int = RADIUS, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """Pairs (a, b) of ``rows`` (key, doc_id, f1, f2) within the radius in one shard."""
     ddl = "a bigint, b bigint, key bigint, block int, data binary"
     placed = rows.repartition("key").sortWithinPartitions("key")
@@ -163,12 +168,13 @@ def search_shards(rows: DataFrame, radius: int = RADIUS, block: int = BLOCK) ->
                     blocks.append((key, number, _pack(held)))
                 key, tree, held, number = k, BKTree(), [], 0
             for i, fp in zip(ids, fps):
-                if tree.size >= block:
+                if len(held) >= block:
                     blocks.append((key, number, _pack(held)))
-                    tree, held, number = BKTree(), [], number + 1
-                for other in tree.within(fp, radius):
-                    pairs.append((min(i, other), max(i, other)))
-                tree.add(fp, i)
+                    held, number = [], number + 1
+                if not number:  # later blocks are searched in their cells
+                    for other in tree.within(fp, radius):
+                        pairs.append((min(i, other), max(i, other)))
+                    tree.add(fp, i)
                 held.append((i, fp))
 
         rest = None
@@ -201,19 +207,40 @@ def search_shards(rows: DataFrame, radius: int = RADIUS, block: int = BLOCK) ->
     blocks = first.where("a is null").select("key", "block", "data")
     if not blocks.limit(1).count():
         return inside.distinct()
-    other = blocks.select("key", F.col("block").alias("block2"), F.col("data").alias("data2"))
-    both = blocks.join(other, "key").where("block < block2").select("data", "data2").repartition(blocks.sparkSession.sparkContext.defaultParallelism * 4, F.rand(7))
+    sizes = blocks.groupBy("key").agg(F.ceil((F.max("block") + 1) / F.lit(group)).cast("int").alias("groups"))
+    g = F.floor(F.col("block") / F.lit(group)).cast("int")
+    laid = blocks.join(sizes, "key").withColumn("g", g).withColumn("h", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    cells = laid.select("key", F.least("g", "h").alias("low"), F.greatest("g", "h").alias("high"), "block", "data")
+    tasks = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cells.repartition(tasks, "key", "low", "high").sortWithinPartitions("key", "low", "high", "block")
+
+    def searched(low: int, high: int, held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        left = [x for x in held if x[0] // group == low]
+        right = left if low == high else [x for x in held if x[0] // group == high]
+        for number, data in left:
+            tree, pairs = BKTree(), []
+            for i, fp in _unpack(data):
+                if low == high and number:  # the first block was searched where it arrived
+                    pairs += [(min(i, o), max(i, o)) for o in tree.within(fp, radius)]
+                tree.add(fp, i)
+            for other, more in right:
+                if other > number:
+                    pairs += [(min(i, o), max(i, o)) for i, fp in _unpack(more) for o in tree.within(fp, radius)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
         for batch in batches:
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tree = BKTree()
-                for i, fp in _unpack(x):
-                    tree.add(fp, i)
-                pairs = [(min(i, o), max(i, o)) for i, fp in _unpack(y) for o in tree.within(fp, radius)]
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
-
-    return inside.union(both.mapInArrow(across, "a bigint, b bigint")).distinct()
+            for k, low, high, number, data in zip(*[c.to_pylist() for c in batch.columns]):
+                if (k, low, high) != cell:
+                    if cell is not None:
+                        yield from searched(cell[1], cell[2], held)
+                    cell, held = (k, low, high), []
+                held.append((number, data))
+        if cell is not None:
+            yield from searched(cell[1], cell[2], held)
+
+    return inside.union(placed.mapInArrow(across, "a bigint, b bigint")).distinct()
 
 
 def _pack(held: list[tuple[int, int]]) -> bytes:

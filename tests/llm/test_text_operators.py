@@ -471,3 +471,31 @@ def test_hot_host_equals_its_pages_in_parts(spark, monkeypatch, bound):
     df = spark.createDataFrame(rows, "fetch_id bigint, url string, raw_html string, title string, text string")
     got = {(r["fetch_id"], r["line_no"]): r["main"] for r in main_body.classified(df, "fetch_id", "url", "raw_html", "title", "text").collect()}
     assert got == {(n, k + 1): k == bin(n & 63).count("1") for n in range(300) for k in range(bin(n & 63).count("1") + 1)}
+
+
+def test_cells_of_a_hot_shard_lose_no_pair(spark):
+    rows = [(7, i, (i * 37) % 97, 0) for i in range(500)] + [(8, 1000 + i, 1, i) for i in range(3)]
+    df = spark.createDataFrame(rows, "key bigint, doc_id bigint, f1 bigint, f2 bigint")
+    for block, group in ((16, 4), (7, 1), (64, 32)):
+        got = {(r[0], r[1]) for r in near_duplicates.search_shards(df, 1, block=block, group=group).collect()}
+        want = {(a[1], b[1]) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and ((a[2] ^ b[2]).bit_count() + (a[3] ^ b[3]).bit_count()) <= 1}
+        assert got == want
+
+
+@pytest.mark.parametrize("most", [0, 10**9])
+def test_leaks_on_both_sides_of_the_bound(spark, most):
+    items = [(k, prose(1000 + k, 40)) for k in range(6)] + [(7, prose(1000, 40)), (50, None), (51, ""), (52, "short")]
+    rows = AWKWARD + [(100 + k, f"{prose(k, 30)} {t[: len(t) * (3 + k) // 10]} {prose(k + 9, 10)}") for k, (_, t) in enumerate(items[:6])] + [(200, items[0][1].upper())]
+    rows += [(300 + i, items[3][1]) for i in range(200)]  # a hot document
+    docs, its = frame(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"], r["shared"], r["shingles"]) for r in leakage.leaks(docs, its, "doc_id", "text", "item_id", "text", most).collect()}
+
+    def cut(t):
+        r = reduced(t)
+        return {r[i: i + 20] for i in range(len(r) - 19)}
+
+    want = {(d, i, len(cut(t) & cut(x)), len(cut(x))) for d, t in rows if t for i, x in items if x and cut(x) and 2 * len(cut(t) & cut(x)) >= len(cut(x))}
+    assert got == want and len(want) > 200
+    where = {(r["doc_id"], r["item_id"]): (r["from_pos"], r["to_pos"]) for r in leakage.leaks(docs, its, "doc_id", "text", "item_id", "text", most).collect()}
+    assert where[200, 0] == (1, len(reduced(items[0][1])))
+    assert leakage.leaks(frame(spark, []), its, "doc_id", "text", "item_id", "text", most).count() == 0 and leakage.leaks(docs, its.limit(0), "doc_id", "text", "item_id", "text", most).count() == 0
