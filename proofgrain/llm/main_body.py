@@ -44,6 +44,8 @@ VARYING_SHARE = 0.3
 PARTS = 16
 #: Rows of slots (different skeletons) that are broadcast; more are joined by shuffling.
 MAX_BROADCAST = 100_000
+#: Wrappers (a host's tree, some kB) that are broadcast.
+MAX_WRAPPERS = 2_000
 #: A form recurs if it stands on such a share of a host's pages, or of all pages.
 HOST_SHARE, CORPUS_SHARE = 0.02, 0.004
 #: A form is constant if it stands alone in containers of its own on at least so many pages, and such a share of all pages, of several hosts.
@@ -352,12 +354,18 @@ def _trees(rows: list[tuple[str, str]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.string()), pa.array([t[1:-1] if t else "" for _, t in rows], pa.string())], names=["host", "tree"])
 
 
+def _tasks(df: DataFrame) -> int:
+    """Matching trees takes much time for few bytes, so its tasks aren't merged by their size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def wrappers(skeletons: DataFrame) -> DataFrame:
     """host, tree: the wrapper of each host, merged from its different skeletons (host, skel, tree, pages), frequent ones first."""
     parts = skeletons.withColumn("part", F.pmod("skel", F.lit(PARTS)))
-    first = parts.repartition("host", "part").sortWithinPartitions("host", "part", F.desc("pages"), "tree").select(F.concat_ws("\x1f", "host", "part").alias("host"), "tree").mapInArrow(_folding, "host string, tree string")
+    tasks = _tasks(skeletons)
+    first = parts.repartition(tasks, "host", "part").sortWithinPartitions("host", "part", F.desc("pages"), "tree").select(F.concat_ws("\x1f", "host", "part").alias("host"), "tree").mapInArrow(_folding, "host string, tree string")
     second = first.select(F.substring_index("host", "\x1f", 1).alias("host"), F.substring_index("host", "\x1f", -1).cast("int").alias("part"), "tree")
-    return cut(second.repartition("host").sortWithinPartitions("host", "part").select("host", "tree").mapInArrow(_folding, "host string, tree string"))
+    return cut(second.repartition(tasks, "host").sortWithinPartitions("host", "part").select("host", "tree").mapInArrow(_folding, "host string, tree string"))
 
 
 def aligned(skeletons: DataFrame, wrapper: DataFrame) -> DataFrame:
@@ -375,7 +383,7 @@ def aligned(skeletons: DataFrame, wrapper: DataFrame) -> DataFrame:
             return out
         return run
 
-    both = skeletons.select("host", "skel", "tree").join(wrapper.withColumnRenamed("tree", "whole"), "host")
+    both = skeletons.select("host", "skel", "tree").repartition(_tasks(skeletons), "host", "skel").join(small(wrapper.withColumnRenamed("tree", "whole"), MAX_WRAPPERS), "host").sortWithinPartitions("host")
     return map_columns(both, make, "host string, skel bigint, slots array<int>")
 
 
