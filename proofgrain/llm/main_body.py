@@ -272,9 +272,13 @@ def read_tree(text: str) -> Slot:
 
 def match(a: Slot, b: Slot) -> tuple[int, list[tuple[Slot, Slot]]]:
     """Simple tree matching: the most pairs of like nodes in order, and the pairs of children in it."""
-    xs, ys = a.inner, b.inner
-    if not xs or not ys:
+    # a node whose sign the other side hasn't can't be in a pair
+    signs = {y.sign for y in b.inner}
+    xs = [x for x in a.inner if x.sign in signs]
+    if not xs:
         return 1, []
+    signs = {x.sign for x in xs}
+    ys = [y for y in b.inner if y.sign in signs]
     best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
     for i, x in enumerate(xs):
         row, above = best[i + 1], best[i]
