@@ -17,7 +17,7 @@ are laid out as a square of cells (GROUP blocks by GROUP blocks), each block is
 sent to the cells of its row and column, and each cell is searched in a task of
 its own. So nothing is capped, a hot shard is spread over all tasks, a task holds
 two groups of blocks, and no block is sent once for every other block. Pairs found
-are checked by exact Jaccard similarity.
+are sifted by their sketches and then checked by exact Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -76,8 +76,8 @@ def minhashes(texts: list[str]) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, digest of the reduced text, fingerprint and band keys of long enough texts."""
-    ddl = "doc_id bigint, d1 bigint, d2 bigint, f1 bigint, f2 bigint, bands array<bigint>"
+    """doc_id, digest of the reduced text, fingerprint, band keys and a byte of each component of long enough texts."""
+    ddl = "doc_id bigint, d1 bigint, d2 bigint, f1 bigint, f2 bigint, bands array<bigint>, parts binary"
     src = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") * 18 >= LEAST_CHARS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +103,8 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids, pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(f1), pa.array(f2),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(ids) + 1, BANDS, dtype=np.int32)), pa.array(bands.astype(np.int64).ravel())),
-                ], names=["doc_id", "d1", "d2", "f1", "f2", "bands"])
+                    pa.array([x.tobytes() for x in (mh >> np.uint64(25)).astype(np.uint8)], pa.binary()),
+                ], names=["doc_id", "d1", "d2", "f1", "f2", "bands", "parts"])
 
     return src.mapInArrow(run, ddl)
 
@@ -252,6 +253,31 @@ def _unpack(data: bytes) -> Iterator[tuple[int, int]]:
         yield int.from_bytes(data[at: at + 8], "little", signed=True), int.from_bytes(data[at + 8: at + 24], "little")
 
 
+def least_equal(least: float) -> int:
+    """Equal components that a pair of the least similarity has, less six standard deviations."""
+    n = PASSES * BINS
+    return int(n * least - 6 * (n * least * (1 - least)) ** 0.5)
+
+
+def sift(pairs: DataFrame, parts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The pairs whose sketches (doc_id, parts) have enough equal components: a pair of the least similarity has, but for one in a billion.
+
+    A sketch is a fraction of a text, so unlike texts that met in a tree aren't
+    brought together for the exact check.
+    """
+    both = pairs.join(parts.select(F.col("doc_id").alias("a"), F.col("parts").alias("pa")), "a").join(parts.select(F.col("doc_id").alias("b"), F.col("parts").alias("pb")), "b").select("a", "b", "pa", "pb")
+    want = least_equal(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in batch.columns[2:])
+                kept = pa.array((x == y).sum(1) >= want)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
+
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, least: float = SIMILARITY) -> DataFrame:
     """a, b, similarity of the pairs whose exact Jaccard similarity is ``least`` or more."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -297,7 +323,8 @@ def near_duplicates(docs: DataFrame, key: str, text: str, least: float = SIMILAR
     sk = cut(sketch(docs, key, text))
     reps = sk.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "f1", "f2", "bands")).alias("r"))
     rows = reps.select(F.explode("r.bands").alias("key"), F.col("r.doc_id").alias("doc_id"), F.col("r.f1").alias("f1"), F.col("r.f2").alias("f2"))
-    links = cut(verify(search_shards(rows, radius, block), docs, key, text, least))
+    near = cut(sift(search_shards(rows, radius, block), sk.select("doc_id", "parts"), least))
+    links = cut(verify(near, docs, key, text, least))
     first = sk.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     members = cut(sk.select("doc_id", "d1", "d2").join(first, ["d1", "d2"]).select("doc_id", "rep"))
     return links, members

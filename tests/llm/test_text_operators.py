@@ -499,3 +499,25 @@ def test_leaks_on_both_sides_of_the_bound(spark, most):
     where = {(r["doc_id"], r["item_id"]): (r["from_pos"], r["to_pos"]) for r in leakage.leaks(docs, its, "doc_id", "text", "item_id", "text", most).collect()}
     assert where[200, 0] == (1, len(reduced(items[0][1])))
     assert leakage.leaks(frame(spark, []), its, "doc_id", "text", "item_id", "text", most).count() == 0 and leakage.leaks(docs, its.limit(0), "doc_id", "text", "item_id", "text", most).count() == 0
+
+
+def test_sketches_of_pairs_near_the_least_similarity(spark):
+    """Sifting loses none of 4000 random pairs of similarity 0.70, of short and of long texts, and most of those of 0.35."""
+    r = random.Random(11)
+    letters = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+
+    def rows(count, size, changed):
+        out = []
+        for k in range(count):
+            t, at = letters(size), r.randrange(9, size - changed - 9)
+            out += [(2 * k, t), (2 * k + 1, t[:at] + letters(changed) + t[at + changed:])]
+        return out
+
+    def kept(pairs):
+        sk = near_duplicates.sketch(frame(spark, pairs), "doc_id", "text")
+        df = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(len(pairs) // 2)], "a bigint, b bigint")
+        return near_duplicates.sift(df, sk).count()
+
+    assert near_duplicates.least_equal(0.7) == 53
+    assert kept(rows(2000, 300, 43)) == 2000 and kept(rows(2000, 1500, 254)) == 2000
+    assert kept(rows(500, 1500, 705)) < 100
