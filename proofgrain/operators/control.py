@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,18 +43,38 @@ def should_stop(tier: Column, fresh: Column, has_history: Column, enough: Column
             .when(closed | enough, out(True, CLOSED)).when(stale, out(True, NO_NEWS)).when(budget_hit, out(True, BUDGET_L2, True)).otherwise(out(False, "")))
 
 
+#: Consecutive ids of one bucket of a running sum.
+BUCKET = 100_000
+
+
 def running_budget(rows: DataFrame, tokens: Column, budget: Column) -> DataFrame:
-    """rows with the tokens used so far in their query and whether the budget is hit."""
-    w = W.partitionBy("query_id").orderBy("round", "pos", "fetch_id").rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(tokens).over(w)).withColumn("over", F.col("used") >= budget)
+    """rows with the tokens used so far in their query and whether the budget is hit.
+
+    Rows are summed up within buckets of a round, a place and BUCKET consecutive
+    ids, and the buckets' totals within their query, so a query with very many rows
+    isn't one task's work.
+    """
+    key = ["query_id", "round", "pos", "_bucket"]
+    r = rows.withColumns({"_tokens": tokens, "_budget": budget, "_bucket": F.floor(F.col("fetch_id") / F.lit(BUCKET))})
+    totals = r.groupBy(*key).agg(F.sum("_tokens").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(W.partitionBy("query_id").orderBy("round", "pos", "_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(*[F.col(k).alias(f"{k}_t") for k in key], before.alias("_before"))
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_t"))
+    inside = F.sum("_tokens").over(W.partitionBy(*key).orderBy("fetch_id").rowsBetween(W.unboundedPreceding, 0))
+    out = r.withColumn("_inside", inside).join(totals, same)
+    return out.withColumn("used", F.col("_before") + F.col("_inside")).withColumn("over", F.col("used") >= F.col("_budget")).drop("_tokens", "_budget", "_bucket", "_inside", "_before", *[f"{k}_t" for k in key])
 
 
 def closure(evidence: DataFrame, dimensions: tuple = DIMENSIONS) -> DataFrame:
     """query_id, anchored, covered (dimensions), closed."""
     text = F.lower(F.concat_ws(" ", filled("text"), filled("url"), filled("snippet")))
     spark = evidence.sparkSession
-    dims = spark.createDataFrame([(i, n) for i, (n, _) in enumerate(dimensions)], "dim int, name string").select("dim", F.transform(closure_tokens(F.col("name")), F.lower).alias("toks"))
-    hits = evidence.select("query_id", (F.length("url") > 0).alias("has_url"), text.alias("t")).join(F.broadcast(dims)).groupBy("query_id", "dim").agg(
-        F.max(F.coalesce("has_url", F.lit(False))).alias("anchored"), F.max(F.exists("toks", lambda k: F.col("t").contains(k))).alias("hit"))
-    g = hits.groupBy("query_id").agg(F.max("anchored").alias("anchored"), F.count_if("hit").alias("covered"))
+    names = [n for n, _ in dimensions]
+    toks = spark.range(1).select(*[F.transform(closure_tokens(F.lit(n)), F.lower).alias(f"d{i}") for i, n in enumerate(names)]).first()  # of the caller's dimensions
+    some = lambda words: functools.reduce(operator.or_, [F.col("t").contains(w) for w in words])
+    rows = evidence.select("query_id", F.coalesce(F.length("url") > 0, F.lit(False)).alias("has_url"), text.alias("t"))
+    g = rows.groupBy("query_id").agg(F.max("has_url").alias("anchored"), *[F.max(some(toks[i])).cast("int").alias(f"_c{i}") for i in range(len(names))])
+    g = g.withColumn("covered", sum((F.col(f"_c{i}") for i in range(len(names))), F.lit(0)).cast("bigint"))
     return g.select("query_id", "anchored", "covered", (F.col("anchored") & (F.col("covered") == len(dimensions))).alias("closed"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,23 +47,35 @@ def uncertain_section(unsure: DataFrame) -> DataFrame:
 
 
 def schema_layout(scored: DataFrame, dimensions: tuple = DIMENSIONS) -> DataFrame:
-    """query_id, layout: a section a dimension, each with the two best sources that match it."""
-    spark = scored.sparkSession
-    dims = spark.createDataFrame([(i, n, lvl, CAPS.get(lvl, 120)) for i, (n, lvl) in enumerate(dimensions)], "dim int, name string, lvl string, cap int").withColumn("g", grams(F.col("name")))
-    r = scored.withColumn("rank", F.row_number().over(by_rank())).select("query_id", "rank", filled("snippet").alias("snippet"), filled(either("text", "snippet")).alias("t"))
-    pairs = r.join(F.broadcast(dims)).withColumn("match", F.exists("g", lambda x: F.col("t").contains(x)))
-    # at most two matching and three leading sources of a dimension are gathered
-    seen = pairs.groupBy("query_id", "dim", "name", "lvl").agg(F.max("match").alias("matched"))
-    w = W.partitionBy("query_id", "dim").orderBy("rank")
-    two = pairs.where("match").withColumn("_n", F.row_number().over(w)).where("_n <= 2").select("query_id", "dim", "rank", "snippet", "cap", F.lit(True).alias("hit"))
-    three = pairs.where("rank <= 3").select("query_id", "dim", "rank", "snippet", "cap", F.lit(False).alias("hit"))
-    line = lambda cond: F.array_join(F.filter(ordered(F.when(cond & (F.col("snippet") != ""), F.concat(F.lit("- "), F.expr("substring(snippet, 1, cap)"), F.lit("\n"))), F.col("rank")), lambda x: x.isNotNull()), "")
-    shown = two.union(three).groupBy("query_id", "dim").agg(line(F.col("hit")).alias("body"), line(~F.col("hit")).alias("all3"))
-    g = seen.join(shown, ["query_id", "dim"])
-    any_hit = F.max("matched").over(W.partitionBy("query_id"))
-    body = (F.when(F.col("matched"), F.col("body")).when(F.col("any") , "（该维度暂无直接来源）\n").when(F.col("dim") == 0, F.col("all3")).otherwise("（综合来源见首节；本维度按此框架组织结论）\n"))
-    s = g.withColumn("any", any_hit).select("query_id", "dim", F.concat(F.lit("## "), "name", F.lit("（"), "lvl", F.lit("）\n"), body).alias("section"))
-    return s.groupBy("query_id").agg(F.array_join(ordered(F.col("section"), F.col("dim")), "\n").alias("layout"))
+    """query_id, layout: a section a dimension, each with the two best sources that match it.
+
+    All dimensions are judged on a row at once; of a query only the rows that are
+    shown (its three best, and the two best of each dimension) are gathered.
+    """
+    spark, n = scored.sparkSession, len(dimensions)
+    marks = spark.range(1).select(*[grams(F.lit(name)).alias(f"g{i}") for i, (name, _) in enumerate(dimensions)]).first()  # of the caller's dimensions
+    r = scored.select("query_id", F.row_number().over(by_rank()).alias("rank"), filled("snippet").alias("snippet"), filled(either("text", "snippet")).alias("t"))
+    r = r.select("query_id", "rank", "snippet", *[functools.reduce(operator.or_, [F.col("t").contains(g) for g in marks[i]]).alias(f"m{i}") for i in range(n)])
+    w = W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
+    hit = [F.col(f"m{i}") & (F.sum(F.col(f"m{i}").cast("int")).over(w) <= 2) for i in range(n)]
+    shown = r.select("query_id", "rank", "snippet", F.array(*hit).alias("hits")).where((F.col("rank") <= 3) | F.exists("hits", lambda h: h))
+    g = shown.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "snippet", "hits"))).alias("rows"))
+
+    def lines(cap: int, keep) -> Column:
+        return F.array_join(F.transform(F.filter("rows", lambda x: keep(x) & (x["snippet"] != "")), lambda x: F.concat(F.lit("- "), F.substring(x["snippet"], 1, cap), F.lit("\n"))), "")
+
+    def hits(i: int):
+        return lambda x: x["hits"][i]
+
+    matched = [F.exists("rows", hits(i)) for i in range(n)]
+    some = functools.reduce(operator.or_, matched)
+    sections = []
+    for i, (name, level) in enumerate(dimensions):
+        cap = CAPS.get(level, 120)
+        rest = lines(cap, lambda x: x["rank"] <= 3) if i == 0 else F.lit("（综合来源见首节；本维度按此框架组织结论）\n")
+        body = F.when(matched[i], lines(cap, hits(i))).when(some, "（该维度暂无直接来源）\n").otherwise(rest)
+        sections.append(F.concat(F.lit(f"## {name}（{level}）\n"), body))
+    return g.select("query_id", F.array_join(F.array(*sections), "\n").alias("layout"))
 
 
 def cited(sources: DataFrame) -> DataFrame:

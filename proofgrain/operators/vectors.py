@@ -16,7 +16,7 @@ def nearest(df: DataFrame, key: str, vec: str, k: int, every: int = 20) -> DataF
     """query_id, vec_id, rank: the k most similar rows of each row whose key is divisible by ``every``.
 
     The queries are a stated set, read block by block; each block meets all rows
-    as one matrix product a batch, of which only the k best a query leave the task.
+    as one matrix product a batch; only the k best a query leave a task.
     Ties go to the smaller key; zero or null vectors match nothing.
     """
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v")).where("v is not null")
@@ -29,6 +29,7 @@ def nearest(df: DataFrame, key: str, vec: str, k: int, every: int = 20) -> DataF
             ids = np.array([i for i, _ in b.value], np.int64)
             q = np.array([v for _, v in b.value])
             q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+            near, best = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
             for batch in batches:
                 n = batch.num_rows
                 if not n:
@@ -38,10 +39,12 @@ def nearest(df: DataFrame, key: str, vec: str, k: int, every: int = 20) -> DataF
                 v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
                 c = np.floor(q @ v.T * 1e6 + 0.5)
                 c[ids[:, None] == keys[None, :]] = -np.inf
-                for i in range(len(ids)):
-                    top = np.lexsort((keys, -c[i]))[:k]
-                    top = top[np.isfinite(c[i][top])]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i], len(top))), pa.array(keys[top]), pa.array(c[i][top])], names=["query_id", "vec_id", "c"])
+                # the best of this batch and of those before
+                near, best = np.hstack([near, np.broadcast_to(keys, c.shape)]), np.hstack([best, c])
+                order = np.lexsort((near, -best), axis=1)[:, :k]
+                near, best = np.take_along_axis(near, order, 1), np.take_along_axis(best, order, 1)
+            good = np.isfinite(best)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, good.sum(1)), pa.int64()), pa.array(near[good], pa.int64()), pa.array(best[good], pa.float64())], names=["query_id", "vec_id", "c"])
 
         return rows.mapInArrow(run, "query_id bigint, vec_id bigint, c double")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofgrain.functions.fingerprint import cosine
 from proofgrain.functions.text import either, filled, keyword_set, urls_in
+from proofgrain.session import cut
 
 #: Fixed value: marks of negation.
 NEGATION = "不|无|非|没有|相反|并非|未|否"
@@ -15,19 +16,33 @@ NEGATION = "不|无|非|没有|相反|并非|未|否"
 def anchor_facts(facts: DataFrame, sources: DataFrame) -> DataFrame:
     """query_id, fact_id, verdict, source, overlap: each fact with the source sharing most keywords.
 
-    Keywords of both sides are joined, so only pairs with one in common exist;
-    the earlier source wins a tie. A fact without keywords or without a match is
-    UNCERTAIN.
+    Different facts of a query are anchored once. A lower bound of the best overlap
+    comes first: each keyword votes for the source of its query that has most
+    keywords. A source with as many in common as that must have one of the fact's
+    rarest keywords (all but bound - 1), so only those are joined, the common ones
+    (with which every pair of a query would meet) hardly ever; the overlap of those
+    pairs is counted on all keywords. The earlier source wins a tie. A fact without
+    keywords or without a match is UNCERTAIN.
     """
-    f = facts.select("query_id", "fact_id", "fact", keyword_set(F.col("fact")).alias("kw"))
-    s = sources.select("query_id", F.struct("pos", "fetch_id").alias("ord"), "url", F.explode(keyword_set(either("text", "snippet"))).alias("k"))
-    hits = f.select("query_id", "fact_id", F.explode("kw").alias("k")).join(s, ["query_id", "k"]).groupBy("query_id", "fact_id", "ord", "url").agg(F.count(F.lit(1)).alias("overlap"))
-    rank = F.struct((-F.col("overlap")).alias("o"), "ord", "url")
-    best = hits.groupBy("query_id", "fact_id").agg(F.min(rank).alias("m"))
+    mine = facts.select("query_id", "fact_id", "fact", F.xxhash64("query_id", "fact").alias("f"), F.xxhash64("fact", "query_id").alias("f2"))
+    kinds = mine.groupBy("query_id", "f", "f2").agg(F.first("fact").alias("fact")).select("query_id", "f", "f2", keyword_set(F.col("fact")).alias("kw"))
+    s = cut(sources.select("query_id", F.struct("pos", "fetch_id").alias("ord"), "url", F.transform(keyword_set(either("text", "snippet")), lambda k: F.xxhash64(k)).alias("kw")))
+    kinds = cut(kinds.select("query_id", "f", "f2", F.transform("kw", lambda k: F.xxhash64(k)).alias("kw")))
+    words = s.select("query_id", "ord", F.size("kw").alias("size"), F.explode("kw").alias("k"))
+    common = cut(words.groupBy("query_id", "k").agg(F.count(F.lit(1)).alias("df"), F.max_by("ord", F.struct("size", "ord")).alias("vote")))
+    asked = kinds.select("query_id", "f", "f2", F.explode("kw").alias("k")).join(common, ["query_id", "k"])
+    votes = asked.groupBy("query_id", "f", "f2", "vote").agg(F.count(F.lit(1)).alias("n")).groupBy("query_id", "f", "f2").agg(F.max("n").alias("bound"))
+    ranked = asked.groupBy("query_id", "f", "f2").agg(F.array_sort(F.collect_list(F.struct("df", "k"))).alias("x"))
+    prefix = ranked.join(votes, ["query_id", "f", "f2"]).select("query_id", "f", "f2", F.explode(F.slice("x", F.lit(1), F.size("x") - F.col("bound") + 1)).alias("x")).select("query_id", "f", "f2", F.col("x.k").alias("k"))
+    pairs = prefix.join(words.select("query_id", "ord", "k"), ["query_id", "k"]).select("query_id", "f", "f2", "ord").distinct()
+    counted = pairs.join(kinds, ["query_id", "f", "f2"]).join(s.select("query_id", "ord", "url", F.col("kw").alias("skw")), ["query_id", "ord"]).select(
+        "query_id", "f", "f2", "ord", "url", F.size(F.array_intersect("kw", "skw")).alias("overlap"))
+    best = counted.groupBy("query_id", "f", "f2").agg(F.min(F.struct((-F.col("overlap")).alias("o"), "ord", "url")).alias("m"))
+    known = kinds.select("query_id", "f", "f2", F.size("kw").alias("n_kw")).join(best, ["query_id", "f", "f2"], "left")
     found = F.col("m").isNotNull()
-    return f.join(best, ["query_id", "fact_id"], "left").select(
+    return mine.join(known.drop("query_id"), ["f", "f2"]).select(
         "query_id", "fact_id", F.substring("fact", 1, 160).alias("fact"), F.when(found, "TRUE").otherwise("UNCERTAIN").alias("verdict"), F.col("m.url").alias("source"),
-        F.when(found, "source_overlap").when(F.size("kw") == 0, "no_overlap_source").otherwise("weak_anchor").alias("reason"), F.coalesce(-F.col("m.o"), F.lit(0)).cast("bigint").alias("overlap"))
+        F.when(found, "source_overlap").when(F.col("n_kw") == 0, "no_overlap_source").otherwise("weak_anchor").alias("reason"), F.coalesce(-F.col("m.o"), F.lit(0)).cast("bigint").alias("overlap"))
 
 
 def anchor_semantic(facts: DataFrame, sources: DataFrame, threshold: float = 0.55) -> DataFrame:

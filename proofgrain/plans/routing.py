@@ -66,6 +66,18 @@ SQL["plan_leaves"] = f"""with a as (select query_id, {_s} as q, regexp_extract({
   from (select query_id, q, name, unnest(range(coalesce(len(parts), 1))) as i, unnest(coalesce(parts, [null])) as e from l) where i < 8"""
 
 
+def plan_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaves of at most two a question, with a note where more were left out; each question is asked of three things here."""
+    q = read_table(spark, sf, "research_queries").select("query_id", F.concat(F.lit("对比甲"), F.col("query_id").cast("string"), F.lit("、乙、丙的收入")).alias("query"))
+    d = q.select("query_id", F.posexplode(route.plan_leaves(F.col("query"), F.when(F.col("query_id") % 2 == 0, 2).otherwise(3))).alias("i", "l"))
+    return d.select("query_id", "i", F.col("l.q").alias("leaf"), "l.dimension", "l.truncated")
+
+
+SQL["plan_notes"] = """with l(i, a) as (values (0, '甲'), (1, '乙'), (2, '丙')), q as (select query_id, i, case when i = 0 then a || query_id else a end as a from research_queries, l)
+  select query_id, i::int as i, a || ' 的收入' as leaf, a || '/收入' as dimension, false as truncated from q where i < case query_id % 2 when 0 then 2 else 3 end
+  union all select query_id, 2, '(宽度超限，原 3 叶子截断至 2)', 'note', true from research_queries where query_id % 2 = 0"""
+
+
 def topic_scores(spark: SparkSession, sf: str) -> DataFrame:
     return route.topics(read_table(spark, sf, "research_queries"))
 
@@ -133,4 +145,4 @@ SQL["stock_codes"] = f"""select doc_id, code, case when left(code, 1) in ('6', '
   case {' '.join(f"when contains(q, '{n}') then '{c}'" for n, c in sorted(finance.ALIASES.items(), key=lambda kv: -len(kv[0])))} end as by_name
   from (select doc_id, q, {_x} as code from (select doc_id, coalesce(title, '') || ' 贵州茅台 sh' || lpad((doc_id * 7919 % 1000000)::varchar, 6, '0') as q from documents))"""
 
-QUERIES = [tiers, tier_hits, overrides, plan_leaves, topic_scores, routed_sources, registry_counts, active_sources, builtin_sources, request_urls, stock_codes]
+QUERIES = [tiers, tier_hits, overrides, plan_leaves, plan_notes, topic_scores, routed_sources, registry_counts, active_sources, builtin_sources, request_urls, stock_codes]

@@ -10,13 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from proofgrain.functions.text import filled, rounded
-from proofgrain.functions.url import domain_of
-from proofgrain.operators import guards, landing, report, route, series, verify
 from proofgrain.functions.fingerprint import hash_embed
-from proofgrain.functions.text import either, keyword_set
-from proofgrain.plans import routing
-from proofgrain.plans.texts import DOMAIN, KEYWORDS, PATH, TOKENS
+from proofgrain.functions.text import either, keyword_set, rounded
+from proofgrain.functions.url import domain_of
+from proofgrain.operators import gather, guards, landing, report, route, score, series, verify
+from proofgrain.plans import pipeline, routing
+from proofgrain.plans.texts import DOMAIN, EST, KEYWORDS, PATH, TOKENS
 from proofgrain.session import read_table
 from proofgrain.sources import adapters, readers, registry, vault
 
@@ -279,4 +278,120 @@ SQL["landing_hops"] = r"""with d as (select *, row_number() over (partition by q
   from s left join b on s.fetch_id = b.fetch_id"""
 
 
-QUERIES = [built_in_requests, engine_groups, adapted_rows, generic_rows, serp_rows, arxiv_rows, repository_rows, citations_article, robots_allowed, dimension_lists, cache_latest, semantic_anchors, outline_texts, report_texts, landing_hops]
+def engine_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """The engines of each question, whose intent stands for its domain here, and the results they gave."""
+    q = read_table(spark, sf, "research_queries").select("query_id", F.when(F.col("query_id") % 3 == 0, "code").when(F.col("query_id") % 3 == 1, "legal-cn").otherwise(F.col("intent")).alias("domain"))
+    d = read_table(spark, sf, "serp_docs").select("query_id", "fetch_id", F.when(F.col("fetch_id") % 4 == 0, "GitHub").when(F.col("fetch_id") % 4 == 1, "Sogou").otherwise("Baidu").alias("engine"))
+    return gather.general_search(q, d).select("query_id", "fetch_id", "engine", "at")
+
+
+SQL["engine_choice"] = """with q as (select query_id, query_id % 3 as m from research_queries), d as (select query_id, fetch_id, case fetch_id % 4 when 0 then 'GitHub' when 1 then 'Sogou' else 'Baidu' end as engine from serp_docs),
+  c(m, engine, place) as (values (0, 'GitHub', 0), (0, 'StackOverflow', 1), (0, 'HackerNews', 2), (1, 'GovCN', 0), (1, 'PKULaw', 1), (2, 'Baidu', 0), (2, 'Sogou', 1)),
+  g as (select d.*, c.place from d join q using (query_id) join c on c.m = q.m and c.engine = d.engine)
+  select query_id, fetch_id, engine, place as "at" from g union all select d.*, 0 from d where engine = 'Baidu' and query_id in (select query_id from research_queries) and query_id not in (select query_id from g)"""
+
+
+def fanned_out(spark: SparkSession, sf: str) -> DataFrame:
+    """Two sources answer every question with the same result, others fail: the first source of the registry keeps the address."""
+    q = read_table(spark, sf, "research_queries").select("query_id", "query")
+    chosen = q.join(F.broadcast(spark.createDataFrame([("DataEuropa",), ("CourtListener",), ("USGS",), ("NBS",)], "id string")))
+    answer = F.concat(F.lit("https://a.org/"), F.col("query_id").cast("string"))
+    forms = {"DataEuropa": F.struct(F.struct(F.array(F.struct(answer.alias("url"), F.lit("E").alias("title"))).alias("results")).alias("result")),
+             "CourtListener": F.struct(F.array(F.struct(answer.alias("absolute_url"), F.lit("C").alias("caseName")), F.struct(F.concat(answer, F.lit("/c")).alias("absolute_url"), F.lit("D").alias("caseName"))).alias("results"))}
+    payload = F.when(F.col("source") == "USGS", F.lit(None).cast("string")).when((F.col("source") == "NBS") & (F.col("query_id") % 2 == 0), "numbers")
+    for n, f in forms.items():
+        payload = payload.when(F.col("source") == n, F.to_json(f))
+    out = gather.fan_out(chosen, registry.registry(spark), lambda asked: asked.withColumn("payload", payload))
+    return out.select("query_id", "source", "pos", "url", "title", "source_type", "quality")
+
+
+SQL["fanned_out"] = """with s(source, pos, tail, title) as (values ('CourtListener', 0, '', 'C'), ('CourtListener', 1, '/c', 'D')) select query_id, source, pos::int as pos, 'https://a.org/' || query_id || tail as url, title, 'gov' as source_type, 'A' as quality from research_queries, s
+  union all select query_id, 'NBS', 0, 'https://data.stats.gov.cn/', '国家统计局（结构化统计数据，需指标代码深化）', 'gov', 'A' from research_queries where query_id % 2 = 0"""
+
+
+def doi_citations(spark: SparkSession, sf: str) -> DataFrame:
+    d = read_table(spark, sf, "documents").select("doc_id", F.lpad((F.col("doc_id") % 50).cast("string"), 2, "0").alias("arxiv_id"))
+    dois = spark.range(100).select(F.lpad(F.col("id").cast("string"), 2, "0").alias("arxiv_id"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("10.1/"), F.col("id").cast("string"))).when(F.col("id") % 3 == 1, "").alias("doi"))
+    return gather.fill_dois(d, dois).select("doc_id", F.col("citation")["key"].alias("key"), F.col("citation")["doi"].alias("doi"))
+
+
+SQL["doi_citations"] = "select doc_id, 'arxiv-' || lpad((doc_id % 50)::varchar, 2, '0') as key, case when doc_id % 50 % 3 = 0 then '10.1/' || (doc_id % 50) end as doi from documents"
+
+
+def asked_again(spark: SparkSession, sf: str) -> DataFrame:
+    """Deep questions that have too few documents and budget left."""
+    q = read_table(spark, sf, "research_queries").select("query_id", "tier")
+    plan = q.withColumns({"budget": score.lookup(F.col("tier"), score.BUDGET, 8000), "max_sources": score.lookup(F.col("tier"), score.MAX_SOURCES, 3)})
+    return gather.expansions(plan, read_table(spark, sf, "serp_docs").select("query_id", "snippet"))
+
+
+_est = EST.format("snippet")
+SQL["asked_again"] = f"""with k as (select query_id, count(*) as n, sum({_est})::bigint as used from serp_docs group by query_id), s as (select query_id, tier, coalesce(n, 0) as n, coalesce(used, 0)::bigint as used from research_queries left join k using (query_id))
+  select query_id, tier, n, used from s where tier = 'L2' and n < 8 and used < 30000 or tier = 'L3' and n < 20 and used < 100000"""
+
+
+def leaf_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Results by the leaf of the question they were found for: here every third result by each of three leaves."""
+    q = read_table(spark, sf, "research_queries").select("query_id", "tier", score.lookup(F.col("tier"), score.MAX_SOURCES, 3).alias("max_sources"))
+    leaves = q.select("*", F.posexplode(F.array(*[F.lit(f"leaf {i}") for i in range(3)])).alias("i", "leaf")).withColumn("truncated", F.lit(False))
+    d = read_table(spark, sf, "serp_docs").select("query_id", "fetch_id", "pos", F.concat(F.lit("leaf "), (F.col("fetch_id") % 3).cast("string")).alias("leaf"))
+    return gather.leaf_documents(leaves, d).select("query_id", "fetch_id", "leaf_at")
+
+
+SQL["leaf_order"] = "select query_id, fetch_id, (fetch_id % 3)::int as leaf_at from serp_docs join research_queries using (query_id) where tier = 'L3' or fetch_id % 3 < case tier when 'L0' then 1 when 'L1' then 3 when 'L2' then 8 else 3 end"
+
+
+def dispatched(spark: SparkSession, sf: str) -> DataFrame:
+    q = read_table(spark, sf, "research_queries").where("query is not null")
+    d = gather.dispatch(q, guards.dimensions(F.col("query"), F.col("tier")))
+    return d.select("query_id", "i", F.md5("prompt").alias("prompt_md5"), F.md5("query").alias("query_md5"))
+
+
+SQL["dispatched"] = f"""select d.query_id, d.i, md5('任务: 调研维度「' || d.name || '」(深度:' || d.detail_level || ')' || chr(10) || '主题: ' || q.query || chr(10) || '时间范围: 不限' || chr(10) || '要求: 获取证据并返回该维度结论与来源' || chr(10) || '禁止: 改写本模板结构') as prompt_md5,
+    md5(q.query || '（聚焦维度：' || d.name || '）') as query_md5 from ({SQL['dimension_lists']}) d join research_queries q using (query_id) where q.query is not null"""
+
+
+def vault_items_left(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence an interrupted run still has to write, numbered on from what was written (results at even places)."""
+    d = read_table(spark, sf, "serp_docs").select("query_id", "fetch_id", "pos", "url")
+    return gather.persisted(d, d.where("pos % 2 = 0")).select("query_id", "fetch_id", "n")
+
+
+SQL["vault_items_left"] = """with done as (select distinct query_id, url from serp_docs where pos % 2 = 0), b as (select query_id, count(*) as base from done group by query_id)
+  select s.query_id, s.fetch_id, (row_number() over (partition by s.query_id order by s.pos, s.fetch_id) + coalesce(b.base, 0))::int as n from serp_docs s left join b on s.query_id = b.query_id
+  where not exists (select 1 from done where done.query_id = s.query_id and done.url = s.url)"""
+
+
+def vault_indexes(spark: SparkSession, sf: str) -> DataFrame:
+    q = read_table(spark, sf, "research_queries").where("query is not null")
+    return vault.indexes(q, F.lit("2024-01-01T00:00:00")).select("query_id", "path", F.md5("content").alias("content_md5"))
+
+
+SQL["vault_indexes"] = """select query_id, substring(sha1(query), 1, 10) || '/INDEX.md' as path, md5('---' || chr(10) || 'created: 2024-01-01T00:00:00' || chr(10) || 'updated: 2024-01-01T00:00:00' || chr(10) || 'tier: ' || coalesce(tier, '') || chr(10) || 'query: ' || query || chr(10)
+    || 'hash: ' || substring(sha1(query), 1, 10) || chr(10) || '---' || chr(10) || '# Research Vault: ' || query || chr(10) || chr(10) || '> 状态: 收集中 | 档位: ' || coalesce(tier, '') || chr(10)) as content_md5 from research_queries where query is not null"""
+
+
+def eval_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The offline evaluation as one JSON line: questions, hits and rate of each tier."""
+    t = routing.tier_hits(spark, sf).where("tier is not null").select("tier", "n", "hits", rounded(F.col("hits") / F.col("n"), 4).alias("rate"))
+    return t.agg(F.to_json(F.array_sort(F.collect_list(F.struct("tier", "n", "hits")))).alias("result"))
+
+
+SQL["eval_json"] = f"""select '[' || array_to_string(list('{{"tier":"' || tier || '","n":' || n || ',"hits":' || hits || '}}' order by tier), ',') || ']' as result from ({routing.SQL['tier_hits']}) where tier is not null"""
+
+
+def retrieved(spark: SparkSession, sf: str) -> DataFrame:
+    """The composed retrieval over all questions and results: tier, sources and stop of each question."""
+    q, d = read_table(spark, sf, "research_queries").select("query_id", "query"), read_table(spark, sf, "serp_docs").drop("raw_html")
+    s = pipeline.retrieve(q, d)["summary"]
+    return s.select("query_id", "tier", "intent", "n_sources", "token_used", F.col("stop.reason").alias("reason"))
+
+
+def researched(spark: SparkSession, sf: str) -> DataFrame:
+    """The composed research in rounds, each of which finds the results of two places: rounds and evidence of each question."""
+    q, d = read_table(spark, sf, "research_queries").select("query_id", "query"), read_table(spark, sf, "serp_docs").drop("raw_html")
+    out = pipeline.research(q, lambda open_, n, seen: d.where(F.floor(F.col("pos") / 2) == n).join(open_.select("query_id"), "query_id", "left_semi"), 3, (("revenue", "简要"), ("收入", "简要")))
+    return out["iterations"]
+
+
+QUERIES = [engine_choice, fanned_out, doi_citations, asked_again, leaf_order, dispatched, vault_items_left, vault_indexes, eval_json, retrieved, researched, built_in_requests, engine_groups, adapted_rows, generic_rows, serp_rows, arxiv_rows, repository_rows, citations_article, robots_allowed, dimension_lists, cache_latest, semantic_anchors, outline_texts, report_texts, landing_hops]

@@ -36,6 +36,13 @@ def outlines(queries: DataFrame, dims: Column) -> DataFrame:
     return queries.select("query_id", F.concat(F.lit("# 研究大纲: "), "query", F.lit("\n\n## 盲点探测\n"), views, F.lit("\n\n## 可验证清单\n"), F.when(F.size(dims) == 0, "- [ ] **综合检索**").otherwise(checks), F.lit("\n")).alias("content"))
 
 
+def indexes(queries: DataFrame, now: Column) -> DataFrame:
+    """query_id, path, content of each vault's index: front matter and state."""
+    head = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("created: "), now), F.concat(F.lit("updated: "), now), F.concat(F.lit("tier: "), filled("tier")), F.concat(F.lit("query: "), "query"), F.concat(F.lit("hash: "), slug(F.col("query"))), F.lit("---"))
+    body = F.concat(F.lit("\n# Research Vault: "), "query", F.lit("\n\n> 状态: 收集中 | 档位: "), filled("tier"), F.lit("\n"))
+    return queries.select("query_id", F.concat(slug(F.col("query")), F.lit("/INDEX.md")).alias("path"), F.concat(head, body).alias("content"))
+
+
 def reports(notes: DataFrame) -> DataFrame:
     """query_id, content: the notes of a query in the order of their file names."""
     return notes.groupBy("query_id").agg(F.array_join(ordered(F.col("content"), F.col("path")), "\n").alias("content"))

@@ -154,3 +154,84 @@ def test_checkpoints_need_a_shared_folder(spark, monkeypatch):
     with pytest.raises(ValueError):
         shared_folder(Session())
     assert shared_folder(spark)
+
+
+def test_engines_of_a_domain_and_the_last_resort(spark):
+    from proofgrain.operators import gather
+
+    q = spark.createDataFrame([(1, "code"), (2, None), (3, "unknown"), (4, "medical")], "query_id bigint, domain string")
+    got = {}
+    for r in gather.choose_engines(q).orderBy("query_id", "at").collect():
+        got.setdefault(r["query_id"], []).append(r["engine"])
+    assert got == {1: ["GitHub", "StackOverflow", "HackerNews"], 2: ["Baidu", "Sogou"], 3: ["Baidu", "Sogou"], 4: ["PubMed"]}
+    assert {r["engine"] for r in gather.choose_engines(q, "http://own").where("query_id in (2, 3)").collect()} == {gather.SEARXNG}
+    res = spark.createDataFrame([(1, "Baidu", 0), (2, "Sogou", 0), (3, "GitHub", 0), (4, "PubMed", 0), (4, "Baidu", 0)], "query_id bigint, engine string, pos int")
+    assert {(r["query_id"], r["engine"]) for r in gather.general_search(q, res).collect()} == {(1, "Baidu"), (2, "Sogou"), (4, "PubMed")}
+
+
+def test_steps_of_the_caller(spark, tmp_path):
+    from proofgrain.operators import gather
+    from proofgrain.plans import pipeline
+
+    assert gather.load_config(spark, {"a": 1}) == {"a": 1} and gather.load_config(spark, None) == {} and gather.load_config(spark, str(tmp_path / "none.json")) == {}
+    (tmp_path / "c.json").write_text('{"tier":\n"L2"}')
+    (tmp_path / "bad.json").write_text("[")
+    assert gather.load_config(spark, str(tmp_path / "c.json")) == {"tier": "L2"} and gather.load_config(spark, str(tmp_path / "bad.json")) == {}
+    q = spark.createDataFrame([(1, "对比 Alpha 与 Beta"), (2, "什么")], "query_id bigint, query string")
+    plan = {r["query_id"]: r["tier"] for r in pipeline.run_plan(q, classify=lambda text, asked: F.when(asked.contains("问题: 什么\n"), "L3")).collect()}
+    assert plan == {1: "L2", 2: "L3"}
+    row = lambda i, k, n: (i, n, k, f"https://x.org/{k}", f"text {k} with {'word' * k}", f"snippet {k} {'other' * k}", f"title {k}", "gov")
+    ddl = "query_id bigint, pos int, fetch_id bigint, url string, text string, snippet string, title string, source_type string"
+    docs = spark.createDataFrame([row(1, 1, 0)], ddl)
+    out = pipeline.retrieve(q.where("query_id = 1"), docs, more=lambda asked: spark.createDataFrame([row(1, 2, 1)], ddl).join(asked.select("query_id"), "query_id", "left_semi"))
+    assert sorted(r["fetch_id"] for r in out["sources"].collect()) == [1, 2]
+    asked = []
+
+    def agent(rows):
+        asked.extend(r["dimension"] for r in rows.collect())
+        return docs
+
+    res = pipeline.research(q, lambda open_, n, seen: docs.where("false"), 2, (("nowhere", "简要"),), closure=lambda e: e.select("query_id"), agent=agent, conflicts=lambda e: e.select("query_id", F.lit("note").alias("note")))
+    assert len(asked) == 5 and [r["query_id"] for r in res["evidence"].collect()] == [1] and res["conflicts"].count() == 1
+
+
+def test_routers_of_the_caller(spark):
+    from proofgrain.operators import gather
+
+    q = spark.createDataFrame([(1, "a"), (2, "b")], "query_id bigint, query string")
+    reg = registry.registry(spark)
+    got = gather.routed(q, reg, None, lambda qs, s: qs.where("query_id = 1").select("query_id", F.lit("MDN").alias("id")).union(qs.select("query_id", F.lit("nobody"))))
+    n = {r["query_id"]: r["count"] for r in got.groupBy("query_id").count().collect()}
+    assert n == {1: 1, 2: 65}
+
+
+def test_a_running_sum_in_buckets_equals_one_window(spark):
+    from pyspark.sql import Window as W
+
+    from proofgrain.operators import control
+
+    r = random.Random(3)
+    rows = [(1 if i % 3 else i % 5, r.choice([0, 1, None]), r.randrange(3), i * 40_000, r.randrange(50)) for i in range(400)]
+    df = spark.createDataFrame(rows, "query_id bigint, round int, pos int, fetch_id bigint, t bigint")
+    got = {x["fetch_id"]: (x["used"], x["over"]) for x in control.running_budget(df, F.col("t"), F.lit(300)).collect()}
+    w = W.partitionBy("query_id").orderBy("round", "pos", "fetch_id").rowsBetween(W.unboundedPreceding, 0)
+    want = {x["fetch_id"]: (x["u"], x["u"] >= 300) for x in df.withColumn("u", F.sum("t").over(w)).collect()}
+    assert got == want
+
+
+def test_anchors_equal_brute_force(spark):
+    from proofgrain.operators import verify
+
+    r = random.Random(8)
+    words = ["the", "of", "the", *[f"w{chr(97 + i)}" for i in range(20)]]
+    pick = lambda n: " ".join(r.choice(words) for _ in range(n))
+    sources = [(q, p, 100 * q + p, f"u{p}", pick(12) + " the", "") for q in (1, 2) for p in range(30)] + [(3, 0, 300, "u", None, None)]
+    facts = [(q, i * 3 + q, pick(6)) for q in (1, 2, 3) for i in range(60)] + [(1, 1000, ""), (1, 1001, "nothing common"), (None, 1002, "the")]
+    f = spark.createDataFrame(facts + [(1, 2000 + i, "the of wa") for i in range(300)], "query_id bigint, fact_id bigint, fact string")
+    s = spark.createDataFrame(sources, "query_id bigint, pos int, fetch_id bigint, url string, text string, snippet string")
+    got = {x["fact_id"]: (x["overlap"], x["source"], x["verdict"]) for x in verify.anchor_facts(f, s).collect()}
+    for q, i, text in facts:
+        kw = set(text.split())
+        best = min(((-len(kw & set((t or "").split())), p, u) for sq, p, _, u, t, _ in sources if sq == q), default=(0, 0, None))
+        assert got[i] == ((-best[0], best[2], "TRUE") if best[0] else (0, None, "UNCERTAIN")), (q, i)
+    assert len(got) == len(facts) + 300
