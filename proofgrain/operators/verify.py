@@ -25,22 +25,23 @@ def anchor_facts(facts: DataFrame, sources: DataFrame) -> DataFrame:
     keywords or without a match is UNCERTAIN.
     """
     mine = facts.select("query_id", "fact_id", "fact", F.xxhash64("query_id", "fact").alias("f"), F.xxhash64("fact", "query_id").alias("f2"))
-    kinds = mine.groupBy("query_id", "f", "f2").agg(F.first("fact").alias("fact")).select("query_id", "f", "f2", keyword_set(F.col("fact")).alias("kw"))
+    kinds = mine.groupBy("query_id", "f", "f2").agg(F.first("fact").alias("fact")).select("query_id", "f", "f2", F.transform(keyword_set(F.col("fact")), lambda k: F.xxhash64(k)).alias("kw"))
     s = cut(sources.select("query_id", F.struct("pos", "fetch_id").alias("ord"), "url", F.transform(keyword_set(either("text", "snippet")), lambda k: F.xxhash64(k)).alias("kw")))
-    kinds = cut(kinds.select("query_id", "f", "f2", F.transform("kw", lambda k: F.xxhash64(k)).alias("kw")))
     words = s.select("query_id", "ord", F.size("kw").alias("size"), F.explode("kw").alias("k"))
-    common = cut(words.groupBy("query_id", "k").agg(F.count(F.lit(1)).alias("df"), F.max_by("ord", F.struct("size", "ord")).alias("vote")))
-    asked = kinds.select("query_id", "f", "f2", F.explode("kw").alias("k")).join(common, ["query_id", "k"])
-    votes = asked.groupBy("query_id", "f", "f2", "vote").agg(F.count(F.lit(1)).alias("n")).groupBy("query_id", "f", "f2").agg(F.max("n").alias("bound"))
-    ranked = asked.groupBy("query_id", "f", "f2").agg(F.array_sort(F.collect_list(F.struct("df", "k"))).alias("x"))
-    prefix = ranked.join(votes, ["query_id", "f", "f2"]).select("query_id", "f", "f2", F.explode(F.slice("x", F.lit(1), F.size("x") - F.col("bound") + 1)).alias("x")).select("query_id", "f", "f2", F.col("x.k").alias("k"))
+    common = words.groupBy("query_id", "k").agg(F.count(F.lit(1)).alias("df"), F.max_by("ord", F.struct("size", "ord")).alias("vote"))
+    asked = kinds.select("query_id", "f", "f2", F.size("kw").alias("n_kw"), F.explode_outer("kw").alias("k")).join(common, ["query_id", "k"], "left")
+    # a fact's keywords, rarest first; those no source has can't be in common
+    ranked = cut(asked.groupBy("query_id", "f", "f2").agg(F.min("n_kw").alias("n_kw"), F.array_sort(F.collect_list(F.when(F.col("df").isNotNull(), F.struct("df", "k", "vote")))).alias("x")))
+    votes = F.col("x.vote")
+    bound = F.array_max(F.transform(F.array_distinct(votes), lambda v: F.size(F.filter(votes, lambda u: u == v))))
+    prefix = ranked.where(F.size("x") > 0).select("query_id", "f", "f2", F.explode(F.slice("x.k", F.lit(1), F.size("x") - bound + 1)).alias("k"))
     pairs = prefix.join(words.select("query_id", "ord", "k"), ["query_id", "k"]).select("query_id", "f", "f2", "ord").distinct()
-    counted = pairs.join(kinds, ["query_id", "f", "f2"]).join(s.select("query_id", "ord", "url", F.col("kw").alias("skw")), ["query_id", "ord"]).select(
+    counted = pairs.join(ranked.select("f", "f2", F.col("x.k").alias("kw")), ["f", "f2"]).join(s.select("query_id", "ord", "url", F.col("kw").alias("skw")), ["query_id", "ord"]).select(
         "query_id", "f", "f2", "ord", "url", F.size(F.array_intersect("kw", "skw")).alias("overlap"))
     best = counted.groupBy("query_id", "f", "f2").agg(F.min(F.struct((-F.col("overlap")).alias("o"), "ord", "url")).alias("m"))
-    known = kinds.select("query_id", "f", "f2", F.size("kw").alias("n_kw")).join(best, ["query_id", "f", "f2"], "left")
+    known = ranked.select("f", "f2", "n_kw").join(best.drop("query_id"), ["f", "f2"], "left")
     found = F.col("m").isNotNull()
-    return mine.join(known.drop("query_id"), ["f", "f2"]).select(
+    return mine.join(known, ["f", "f2"]).select(
         "query_id", "fact_id", F.substring("fact", 1, 160).alias("fact"), F.when(found, "TRUE").otherwise("UNCERTAIN").alias("verdict"), F.col("m.url").alias("source"),
         F.when(found, "source_overlap").when(F.col("n_kw") == 0, "no_overlap_source").otherwise("weak_anchor").alias("reason"), F.coalesce(-F.col("m.o"), F.lit(0)).cast("bigint").alias("overlap"))
 
