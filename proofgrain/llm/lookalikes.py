@@ -37,7 +37,7 @@ LOOK_ALIKE = {
     "‐‑∕⁄∶꞉ʼ‚․∗∼∣": "--//::’,.*~|",
 }
 #: Invisible characters besides the format characters (category Cf).
-INVISIBLE = "͏ᅟᅠ឴឵ㅤﾠ" + "".join(map(chr, range(0xFE00, 0xFE10))) + "᠋᠌᠍"
+INVISIBLE = "͏ᅟᅠ឴឵ㅤﾠ" + "".join(map(chr, [*range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)])) + "᠋᠌᠍"
 #: Kinds of compatibility decomposition that look like the plain text.
 SAME_LOOK = {"<wide>", "<narrow>", "<compat>", "<font>", "<noBreak>", "<small>"}
 #: Characters that are in form wherever they stand (but may take a combining mark).
@@ -71,7 +71,7 @@ def _parts(c: str) -> str:
 def mapping() -> dict[str, str]:
     """Every code point that isn't its own decomposed, mapped form."""
     out = {}
-    for o in [*range(0xA0, 0xAC00), *range(0xF900, 0xFFF0), *range(0x1D400, 0x1D800), *range(0x1EE00, 0x1EF00), *range(0x2F800, 0x2FA20)]:
+    for o in [*range(0xA0, 0xAC00), *range(0xF900, 0xFFF0), *range(0x10000, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE0200)]:
         c = chr(o)
         if (p := _parts(c)) != c:
             out[c] = p
@@ -89,7 +89,7 @@ def canonical(text: str) -> str:
 @lru_cache(1)
 def _compositions() -> tuple[list[str], list[str]]:
     keys, values = [], []
-    for o in range(0xC0, 0x2000):
+    for o in [*range(0xC0, 0xAC00), *range(0xF900, 0xFFF0), *range(0x10000, 0x20000)]:
         d = unicodedata.decomposition(chr(o)).split()
         if len(d) == 2 and d[0][0] != "<" and unicodedata.normalize("NFC", chr(o)) == chr(o):
             keys.append("".join(chr(int(x, 16)) for x in d))
@@ -117,7 +117,7 @@ def _bring(df: DataFrame, key: list[str], text: str) -> DataFrame:
     pieces = odd.select(*key, F.posexplode(F.regexp_extract_all("_t", F.lit(f"(?s)[{SETTLED}]+(?!{ATTACHED})|{cluster}"), F.lit(0))).alias("_seg", "_s"))
     is_cluster = F.col("_s").rlike(f"[^{SETTLED}]")
     rows = [(c, [(x, unicodedata.combining(x)) for x in p]) for c, p in mapping().items()]
-    rows += [(c, [(c, unicodedata.combining(c))]) for c in map(chr, range(0x300, 0x3100)) if unicodedata.combining(c) and c not in mapping()]
+    rows += [(c, [(c, unicodedata.combining(c))]) for c in map(chr, [*range(0x300, 0xAC00), *range(0xFE20, 0xFE30), *range(0x10000, 0x20000)]) if unicodedata.combining(c) and c not in mapping()]
     table = spark.createDataFrame(rows, "_c string, _m array<struct<c:string,k:int>>").coalesce(1)  # one row a mapped code point: of fixed size
     clusters = pieces.where(is_cluster)
     points = clusters.select(*key, "_seg", F.posexplode(F.regexp_extract_all("_s", F.lit("(?s)."), F.lit(0))).alias("_i", "_c"))

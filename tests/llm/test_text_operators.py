@@ -521,3 +521,21 @@ def test_sketches_of_pairs_near_the_least_similarity(spark):
     assert near_duplicates.least_equal(0.7) == 53
     assert kept(rows(2000, 300, 43)) == 2000 and kept(rows(2000, 1500, 254)) == 2000
     assert kept(rows(500, 1500, 705)) < 100
+
+
+def test_forms_beyond_the_basic_plane(spark):
+    pairs = [("が", "が"), ("\U0001d400bc", "Abc"), ("\U0001109a", "\U00011099\U000110ba"), ("葛\U000e0100城", "葛城"), ("a\U000e0041b", "ab"), ("\U0001f100", "\U0001f100"), ("क़", "क़")]
+    df = frame(spark, list(enumerate(itertools.chain(*pairs))))
+    got = {r["doc_id"]: r["form"] for r in lookalikes.bring_to_form(df, ["doc_id"], "text").collect()}
+    assert all(got[2 * i] == got[2 * i + 1] for i in range(len(pairs)))
+    assert got == {i: lookalikes.canonical(t) for i, t in enumerate(itertools.chain(*pairs))}
+
+
+@pytest.mark.parametrize("bound", [0, 500_000])
+def test_repeated_lines_on_both_sides_of_the_bound(spark, monkeypatch, bound):
+    monkeypatch.setattr(repeated_lines, "MAX_BROADCAST_NODES", bound)
+    df = frame(spark, [(i, f"Head\nbody {'x' * i}\nFoot 12\n{'rare' * (i % 3)}") for i in range(1, 40)])
+    got = {(r["row_id"], r["line_no"]) for r in repeated_lines.repeated(df, "doc_id", "text", "source").collect()}
+    hits, block = repeated_lines.boilerplate(df, "doc_id", "text", "source")
+    assert got == {(r["row_id"], r["line_no"]) for r in hits.collect()} == {(i, n) for i in range(1, 40) for n in ((1, 3, 4) if i % 3 else (1, 3))}
+    assert block.select("block").distinct().count() == 2  # "Foot 12" goes on with two lines; "Head" stands alone
