@@ -235,3 +235,21 @@ def test_anchors_equal_brute_force(spark):
         best = min(((-len(kw & set((t or "").split())), p, u) for sq, p, _, u, t, _ in sources if sq == q), default=(0, 0, None))
         assert got[i] == ((-best[0], best[2], "TRUE") if best[0] else (0, None, "UNCERTAIN")), (q, i)
     assert len(got) == len(facts) + 300
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_nearest_in_blocks_of_queries(spark, monkeypatch, block):
+    from proofgrain.operators import vectors
+
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+    r = random.Random(2)
+    rows = [(i, [r.gauss(0, 1) for _ in range(6)]) for i in range(400)] + [(401, None), (403, [0.0] * 6)] + [(500 + i, [1.0] * 6) for i in range(4)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    got = {}
+    for x in vectors.nearest(df, "id", "v", 4).orderBy("query_id", "rank").collect():
+        got.setdefault(x["query_id"], []).append(x["vec_id"])
+    norm = {i: sum(a * a for a in v) ** 0.5 for i, v in rows if v}
+    for q, v in rows:
+        if q % 20 == 0 and v:
+            close = sorted((-int(sum(a * b for a, b in zip(v, w)) / (norm[q] * max(norm[i], 1e-300)) * 1e6 + 1e6 + 0.5), i) for i, w in rows if w and i != q)
+            assert got[q] == [i for _, i in close[:4]]
