@@ -50,8 +50,8 @@ def choose_engines(queries: DataFrame, searxng_url: str = "") -> DataFrame:
     vertical = queries.sparkSession.createDataFrame([(e[0].removeprefix("vertical/"), e[1], n) for n, e in enumerate(registry.ENGINES) if e[0].startswith("vertical/")], "domain string, engine string, at int")
     at = F.row_number().over(W.partitionBy("domain").orderBy("at")) - 1
     known = vertical.withColumn("at", at)
-    named = queries.join(F.broadcast(known), "domain").select("query_id", "engine", "at")  # a table of fixed size
-    others = queries.join(F.broadcast(known.select("domain").distinct()), "domain", "left_anti")
+    named = queries.join(known, "domain").select("query_id", "engine", "at")  # a table of fixed size
+    others = queries.join(known.select("domain").distinct(), "domain", "left_anti")
     usual = (SEARXNG,) if searxng_url else DEFAULT_ENGINES
     return named.union(others.select("query_id", F.posexplode(F.array(*map(F.lit, usual))).alias("at", "engine")).select("query_id", "engine", "at"))
 
@@ -77,16 +77,17 @@ def fan_out(chosen: DataFrame, sources: DataFrame, fetch: Callable[[DataFrame],
     got = fetch(asked).where("payload is not null")
     rows = adapters.adapt_mixed(got.join(chosen.select("query_id", F.col("id").alias("source"), F.col("query").alias("q")), ["query_id", "source"]).withColumn("base", F.col("address")), sources, paths)
     known = sources.select(F.col("id").alias("source"), "ordinal", "source_type", "quality")
-    return first_per_key(rows.join(F.broadcast(known), "source"), ["query_id", "url"], ["ordinal", "pos"]).drop("ordinal")
+    return first_per_key(rows.join(known, "source"), ["query_id", "url"], ["ordinal", "pos"]).drop("ordinal")
 
 
 def routed(queries: DataFrame, sources: DataFrame, select: Callable[[DataFrame, DataFrame], DataFrame], router: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """query_id, id of each question's sources: by the caller's router in place of the usual selection; a question it gives none asks all sources."""
     if router is None:
         return select(queries, sources).select("query_id", "id")
-    own = router(queries, sources).select("query_id", "id").join(F.broadcast(sources.select("id")), "id", "left_semi").select("query_id", "id")
+    own = router(queries, sources).select("query_id", "id").join(sources.select("id"), "id", "left_semi").select("query_id", "id")
     rest = queries.select("query_id").join(own.select("query_id").distinct(), "query_id", "left_anti")
-    return own.union(rest.join(F.broadcast(sources.select("id"))).select("query_id", "id"))  # the registry is of fixed size
+    every = F.array(*[F.lit(r["id"]) for r in sources.select("id").collect()]).cast("array<string>")  # of the registry, a table of settings
+    return own.union(rest.select("query_id", F.explode(every).alias("id")))
 
 
 def fill_dois(rows: DataFrame, dois: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def resolve(serp: DataFrame, pages: DataFrame, engines: DataFrame | None = None,
     a fallback, with the reason (no_serp_links or landing_unreachable), or goes.
     """
     known = serp.sparkSession.createDataFrame([], "id string, selector string") if engines is None else engines.select("id", "selector").where("selector is not null")
-    s = serp.select("fetch_id", "url", "engine", "raw_html").join(F.broadcast(known.withColumnRenamed("id", "engine")), "engine", "left")  # a table of fixed size
+    s = serp.select("fetch_id", "url", "engine", "raw_html").join(known.withColumnRenamed("id", "engine"), "engine", "left")  # a table of fixed size
     links = F.slice(result_links("raw_html", "selector", "url"), 1, max_pages)
     found = s.select("fetch_id", links.alias("links"))
     tried = found.select("fetch_id", F.posexplode("links").alias("at", "link"))

@@ -116,8 +116,8 @@ def select_sources(found: DataFrame, queries: DataFrame, registry: DataFrame, ma
     floor = reg.where("core").select("id")
     n_core = floor.agg(F.count(F.lit(1)).alias("n_core"))
     experts = reg.where("not core").select("id", "ordinal", F.explode("topics").alias("topic"))
-    scored = found.join(F.broadcast(experts), "topic").groupBy("query_id", "id", "ordinal").agg(F.max("score").alias("score"))
+    scored = found.join(experts, "topic").groupBy("query_id", "id", "ordinal").agg(F.max("score").alias("score"))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "ordinal")
     chosen = scored.withColumn("rn", F.row_number().over(w)).join(F.broadcast(n_core)).where(F.col("rn") + F.col("n_core") <= max_sources)
-    always = queries.select("query_id").join(F.broadcast(floor))
+    always = queries.select("query_id", F.explode(F.array(*[F.lit(r["id"]) for r in floor.collect()]).cast("array<string>")).alias("id"))  # of the registry, a table of settings
     return always.select("query_id", "id", F.lit("core").alias("kind")).union(chosen.select("query_id", "id", F.lit("expert")))

@@ -63,6 +63,19 @@ def change_pct(bars: DataFrame) -> DataFrame:
     return bars.withColumn("change_pct", rounded((F.col("close") - prev) / prev * F.lit(100.0), 2))
 
 
+def within(left: DataFrame, right: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
+    """Pairs of left and right rows of one key, the right one at most ``seconds`` before the left one: an interval join.
+
+    Time is cut into slots of that length and each left row looks into two of them,
+    so rows meet by an equality of key and slot. ``right``'s time comes out as right_ts.
+    """
+    slot = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(seconds * 1_000_000))
+    x = left.withColumn("_slot", F.explode(F.array(slot(F.col(ts)), slot(F.col(ts)) - 1)))
+    y = right.withColumnRenamed(ts, "right_ts").withColumn("_slot", slot(F.col("right_ts")))
+    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("right_ts").cast("timestamp"))
+    return x.join(y, [key, "_slot"]).where((gap >= 0) & (gap <= seconds * 1_000_000)).drop("_slot")
+
+
 def quote_text(quotes: DataFrame) -> DataFrame:
     """code, text of quotes (code, name, f43, f60, f168, f170, f116, klines, flows): prices and turnover are hundredths."""
     def tail(lines: str, n: int, least: int, made) -> Column:

@@ -48,9 +48,11 @@ def anchor_facts(facts: DataFrame, sources: DataFrame) -> DataFrame:
 
 def anchor_semantic(facts: DataFrame, sources: DataFrame, threshold: float = 0.55) -> DataFrame:
     """As anchor_facts for rows with vectors and keywords: cosine among sources sharing a keyword."""
-    f = facts.select("query_id", "fact_id", F.explode("kw").alias("k"), F.col("vec").alias("fv"))
-    s = sources.select("query_id", "pos", "url", F.explode("kw").alias("k"), F.col("vec").alias("sv"))
-    pairs = f.join(s, ["query_id", "k"]).dropDuplicates(["query_id", "fact_id", "pos"])
+    f = facts.select("query_id", "fact_id", F.explode("kw").alias("k"))
+    s = sources.select("query_id", "pos", F.explode("kw").alias("k"))
+    # pairs are found by their ids; the vectors are joined to each once
+    ids = f.join(s, ["query_id", "k"]).select("query_id", "fact_id", "pos").distinct()
+    pairs = ids.join(facts.select("query_id", "fact_id", F.col("vec").alias("fv")), ["query_id", "fact_id"]).join(sources.select("query_id", "pos", "url", F.col("vec").alias("sv")), ["query_id", "pos"])
     best = pairs.withColumn("c", cosine(F.col("fv"), F.col("sv"))).where(F.col("c") >= threshold).groupBy("query_id", "fact_id").agg(F.min(F.struct((-F.col("c")).alias("c"), "pos", "url")).alias("m"))
     return facts.select("query_id", "fact_id").join(best, ["query_id", "fact_id"], "left").select(
         "query_id", "fact_id", F.when(F.col("m").isNotNull(), "TRUE").otherwise("UNCERTAIN").alias("verdict"), F.col("m.url").alias("source"), (-F.col("m.c")).alias("score"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from proofgrain.functions import finance
@@ -180,4 +181,33 @@ def verdict_cube(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL["verdict_cube"] = "select verdict, reason, count(*) as n, grouping(verdict, reason)::int as level from fact_verdicts group by cube (verdict, reason)"
 
-QUERIES = [annual_reports, latest_bars, amounts, payload_values, cooldowns, cache_hits, throttle_waits, trace_summary, as_of_values, hourly_windows, session_windows, streamed_first_seen, streamed_windows, streamed_ttl, late_facts, verdict_cube]
+def verdict_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    f = read_table(spark, sf, "fact_verdicts")
+    return f.rollup("verdict", "reason").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("int").alias("level"))
+
+
+SQL["verdict_rollup"] = "select verdict, reason, count(*) as n, grouping(verdict, reason)::int as level from fact_verdicts group by rollup (verdict, reason)"
+
+
+def purchases_before(spark: SparkSession, sf: str) -> DataFrame:
+    """For each error, the user's purchases of the ten hours before."""
+    e = read_table(spark, sf, "events")
+    d = series.within(e.where("event_type = 'error'").select("event_id", "user_id", "ts"), e.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("purchase")), "user_id", "ts", 36_000)
+    return d.select("event_id", "purchase")
+
+
+SQL["purchases_before"] = """select e.event_id, p.event_id as purchase from events e join events p on e.user_id = p.user_id and e.event_type = 'error' and p.event_type = 'purchase' and p.ts <= e.ts and epoch_us(e.ts) - epoch_us(p.ts) <= 36000000000"""
+
+
+def value_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each user's events: the value before and after, the mean of the last three, the quarter by time, and the share of the user's total."""
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    e = read_table(spark, sf, "events")
+    return e.select("event_id", F.lag("value").over(w).alias("before"), F.lead("value").over(w).alias("after"), rounded(F.avg("value").over(w.rowsBetween(-2, 0)), 4).alias("mean3"), F.ntile(4).over(w).alias("quarter"),
+                    F.first("event_id").over(w).alias("first_event"), F.dense_rank().over(W.partitionBy("user_id").orderBy("event_type")).alias("kind_rank"))
+
+
+SQL["value_frames"] = """select event_id, lag(value) over w as before, lead(value) over w as after, floor(avg(value) over (partition by user_id order by ts, event_id rows between 2 preceding and current row) * 10000.0 + 0.5) / 10000.0 as mean3, (ntile(4) over w)::int as quarter,
+    first_value(event_id) over w as first_event, (dense_rank() over (partition by user_id order by event_type))::int as kind_rank from events window w as (partition by user_id order by ts, event_id)"""
+
+QUERIES = [verdict_rollup, purchases_before, value_frames, annual_reports, latest_bars, amounts, payload_values, cooldowns, cache_hits, throttle_waits, trace_summary, as_of_values, hourly_windows, session_windows, streamed_first_seen, streamed_windows, streamed_ttl, late_facts, verdict_cube]

@@ -294,7 +294,7 @@ SQL["engine_choice"] = """with q as (select query_id, query_id % 3 as m from res
 def fanned_out(spark: SparkSession, sf: str) -> DataFrame:
     """Two sources answer every question with the same result, others fail: the first source of the registry keeps the address."""
     q = read_table(spark, sf, "research_queries").select("query_id", "query")
-    chosen = q.join(F.broadcast(spark.createDataFrame([("DataEuropa",), ("CourtListener",), ("USGS",), ("NBS",)], "id string")))
+    chosen = q.select("*", F.explode(F.array(*map(F.lit, ("DataEuropa", "CourtListener", "USGS", "NBS")))).alias("id"))
     answer = F.concat(F.lit("https://a.org/"), F.col("query_id").cast("string"))
     forms = {"DataEuropa": F.struct(F.struct(F.array(F.struct(answer.alias("url"), F.lit("E").alias("title"))).alias("results")).alias("result")),
              "CourtListener": F.struct(F.array(F.struct(answer.alias("absolute_url"), F.lit("C").alias("caseName")), F.struct(F.concat(answer, F.lit("/c")).alias("absolute_url"), F.lit("D").alias("caseName"))).alias("results"))}

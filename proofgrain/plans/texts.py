@@ -109,6 +109,11 @@ def page_texts(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "serp_docs").select("fetch_id", F.md5(html.main_text(F.col("raw_html"))).alias("text_md5"))
 
 
+SQL["page_texts"] = r"""with p as (select fetch_id, raw_html, string_split_regex(regexp_replace(raw_html, '(?is)<(script|style|noscript)\b[^>]*>.*?</(script|style|noscript)\s*>|<!--.*?-->|<![^>]*>', '<x>', 'g'), '<[^>]*>') as parts from serp_docs),
+  t as (select fetch_id, raw_html, list_transform(parts, lambda x: replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;', '&')) as parts from p)
+  select fetch_id, case when raw_html is not null then md5(regexp_replace(regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(parts, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')) end as text_md5 from t"""
+
+
 def simhashes(spark: SparkSession, sf: str) -> DataFrame:
     d = read_table(spark, sf, "serp_docs")
     return d.select("fetch_id", F.lpad(F.lower(F.hex(fingerprint.simhash(F.concat(filled("snippet"), filled("title"))))), 16, "0").alias("simhash"))

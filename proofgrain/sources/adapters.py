@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofgrain.functions.text import filled
+from proofgrain.functions.text import filled, strip
 from proofgrain.functions.url import norm_url
 
 
@@ -85,7 +85,7 @@ def adapt_mixed(payloads: DataFrame, sources: DataFrame, paths: tuple[str, ...]
     exploded once, whatever the number of adapters.
     """
     known = sources.select(F.col("id").alias("source"), "adapter", "json_items", "item_map")
-    p = payloads.join(F.broadcast(known), "source").withColumn("json", F.try_parse_json("payload"))
+    p = payloads.join(known, "source").withColumn("json", F.try_parse_json("payload"))
     a, v = F.col("adapter"), F.col("v")
     items, urls, titles, snippets, caps = [F.lit(None).cast(t) for t in ("array<variant>", "string", "string", "string", "int")]
     for name, (path, url, title, snippet) in ADAPTERS.items():
@@ -141,13 +141,22 @@ def adapt_generic(payloads: DataFrame, json_items: str | None, item_map: dict[st
 
 
 def adapt_links(pages: DataFrame, limit: int = 5) -> DataFrame:
-    """query_id, pos, url, title of the first distinct links of result pages (query_id, base, payload)."""
+    """query_id, pos, url, title of the first distinct links of each result page (query_id, base, payload).
+
+    A page without a labelled link gives the addresses of its bare href attributes.
+    A page's links are worked off within its row.
+    """
     pattern = r"""(?is)<a[^>]+href=["'](https?://[^"']+?)["'][^>]*>(.*?)</a>"""
-    both = F.arrays_zip(F.regexp_extract_all("payload", F.lit(pattern), F.lit(1)).alias("u"), F.regexp_extract_all("payload", F.lit(pattern), F.lit(2)).alias("l"))
-    d = pages.select("query_id", "base", F.posexplode(both).alias("i", "z")).select("query_id", "base", "i", norm_url(F.col("z.u")).alias("url"), F.substring(F.trim(F.regexp_replace(F.col("z.l"), "<[^>]+>", "")), 1, 120).alias("title"))
-    d = d.where(F.rtrim(F.regexp_replace("url", "/+$", "")) != F.regexp_replace("base", "/+$", ""))
-    g = d.groupBy("query_id", "url").agg(F.min(F.struct("i", "title")).alias("x")).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("x.i", "url", "x.title"))), 1, limit).alias("a"))
-    return g.select("query_id", F.posexplode("a").alias("pos", "r")).select("query_id", "pos", "r.url", "r.title")
+    bare_pattern = r"""(?i)href=["'](https?://[^"']+?)["']"""
+    text = filled("payload")
+    end = lambda c: F.regexp_replace(c, "/+$", "")
+    both = F.arrays_zip(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), norm_url).alias("u"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("l"))
+    d = pages.select("query_id", text.alias("payload"), F.filter(both, lambda x: x["u"].isNotNull() & (end(x["u"]) != end(filled("base")))).alias("both"))
+    first = F.filter("both", lambda x, i: F.array_position(F.col("both.u"), x["u"]) == i + 1)
+    labelled = F.transform(first, lambda x: F.struct(x["u"].alias("url"), F.substring(strip(F.regexp_replace(x["l"], "<[^>]+>", "")), 1, 120).alias("title")))
+    hrefs = F.array_distinct(F.filter(F.transform(F.regexp_extract_all("payload", F.lit(bare_pattern), F.lit(1)), norm_url), lambda u: u.isNotNull()))
+    links = F.when(F.size("both") > 0, labelled).otherwise(F.transform(hrefs, lambda u: F.struct(u.alias("url"), F.lit("").alias("title"))))
+    return d.select("query_id", F.posexplode(F.slice(links, 1, limit)).alias("pos", "r")).select("query_id", "pos", "r.url", "r.title")
 
 
 def arxiv_feed(payloads: DataFrame, limit: int = 10) -> DataFrame:

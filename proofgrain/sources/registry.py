@@ -228,10 +228,10 @@ def requests(queries: DataFrame, sources: DataFrame, engines: DataFrame, searxng
     A source of an engine takes the engine's address. Sources and engines are
     tables of fixed size; a template without {q} is asked as it is.
     """
-    s = sources.select("id", "method", "engine_id", "url_template", "adapter").join(F.broadcast(engines.select(F.col("id").alias("engine_id"), "search_url")), "engine_id", "left")
+    s = sources.select("id", "method", "engine_id", "url_template", "adapter").join(engines.select(F.col("id").alias("engine_id"), "search_url"), "engine_id", "left")
     template = F.replace(F.coalesce("url_template", "search_url"), F.lit("{searxng_url}"), F.lit(searxng_url))
     fixed = F.when(F.col("adapter") == "nbs", NBS_REQUEST)
-    return queries.join(F.broadcast(s), "id").select("query_id", F.col("id").alias("source"), "method", F.coalesce(fill_template(template, F.col("query"), F.lit(None).cast("string")), fixed).alias("address"))
+    return queries.join(s, "id").select("query_id", F.col("id").alias("source"), "method", F.coalesce(fill_template(template, F.col("query"), F.lit(None).cast("string")), fixed).alias("address"))
 
 
 def active(tier: str = "standard", keys: tuple[str, ...] = (), disabled: tuple[str, ...] = (), searxng_url: str = "") -> Column:

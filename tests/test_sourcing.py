@@ -95,6 +95,13 @@ def test_payloads_of_any_source_in_one_plan(spark):
     assert got == {(1, 0): "https://doi.org/10/1", **{(2, i): f"https://a.org/{i}" for i in range(5)}, (3, 0): "https://x.y", (4, 0): "https://data.stats.gov.cn/"}
 
 
+def test_links_without_labels(spark):
+    pages = [(1, "https://b.org/", '<a href="https://b.org">own</a><link href="https://c.org/x"><link href="https://c.org/x">'), (2, "q", '<a href="https://d.org"><b>D</b></a><link href="https://c.org/x">'), (3, "q", ""), (4, None, None), (5, "q", "".join(f"<a href='https://e.org/{i % 7}'>{i}</a>" for i in range(30)))]
+    df = spark.createDataFrame(pages, "query_id bigint, base string, payload string")
+    got = sorted((r["query_id"], r["pos"], r["url"], r["title"]) for r in adapters.adapt_links(df).collect())
+    assert got == [(1, 0, "https://b.org", ""), (1, 1, "https://c.org/x", ""), (2, 0, "https://d.org", "D"), *[(5, i, f"https://e.org/{i}", str(i)) for i in range(5)]]
+
+
 def test_captured_files(spark, tmp_path):
     (tmp_path / "pubmed__3.json").write_text('{"a":\n1}')
     (tmp_path / "bad__x.json").write_text("{}")
