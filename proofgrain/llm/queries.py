@@ -156,4 +156,12 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": f"with {LINES} select k.doc_id, k.line_no::bigint as line_no from kept k join nodes o on k.source is not distinct from o.source and k.n = o.n",
         "p4_clean": f"""with {LINES}, cut as (select doc_id, list(k.line_no) as no from kept k join nodes o on k.source is not distinct from o.source and k.n = o.n group by doc_id)
   select d.doc_id, case when c.no is null then d.text else array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: not list_contains(c.no, i)), chr(10)) end as text from documents d left join cut c using (doc_id)""",
+        # blocks: components of kept lines that follow each other in five documents or more (blank lines don't count), by the least line reached
+        "p4_blocks": f"""with recursive {LINES}, seq as (select doc_id, source, n, row_number() over (partition by doc_id order by line_no) as i from kept),
+  pairs as (select a.source, a.n as a, b.n as b, count(distinct a.doc_id) as docs from seq a join seq b on a.doc_id = b.doc_id and b.i = a.i + 1
+    join nodes x on x.source is not distinct from a.source and x.n = a.n join nodes y on y.source is not distinct from b.source and y.n = b.n where a.n <> b.n group by a.source, a.n, b.n having count(distinct a.doc_id) >= 5),
+  both_ways as (select source, a, b from pairs union select source, b, a from pairs),
+  reach as (select source, n, n as to_n from nodes union select r.source, r.n, e.b from reach r join both_ways e on e.source is not distinct from r.source and e.a = r.to_n),
+  comp as (select source, n, min(to_n) as block from reach group by source, n)
+  select c.source, count(*) as lines, max(o.docs) as docs from comp c join nodes o on o.source is not distinct from c.source and o.n = c.n group by c.source, c.block""",
     }
