@@ -272,18 +272,26 @@ def _wide_places(line: str) -> str:
 RETURNS = HOME | {_decode(b, read) for read, written in SINGLE_BYTE for b in range(0x80, 0x100) if (w := _decode(b, written)) in HOME and w.isalpha()}
 
 
+#: Kinds of space and invisible characters: written on purpose, so no evidence of a wrong reading.
+UNSEEN = re.compile("([\u00a0\u00ad\u2000-\u200f\u2028-\u202f\u205f-\u2064\ufeff]+)")
+
+
 def _single_byte(line: str) -> str:
-    """Round trip of a whole line between single-byte encodings."""
+    """Round trip of a whole line between single-byte encodings, between its unusual spaces."""
+    if UNSEEN.search(line):
+        return "".join(p if k % 2 else _between(p) for k, p in enumerate(UNSEEN.split(line)))
+    return _between(line)
+
+
+def _between(line: str) -> str:
     odd = [c for c in NON_ASCII.findall(line)]
     if not odd or all(c in LOOK_LATIN for c in odd) or any(map(WIDE.match, odd)):
         return line
     spots = [m.start() for m in NON_ASCII.finditer(line) if m.group() not in HOME]
     beside = [(line[i - 1: i].isalpha(), line[i + 1: i + 2].isalpha()) for i in spots]
-    if 2 * sum(a or b for a, b in beside) < len(spots):
-        return line  # signs that stand by themselves
     before = cost(line)
-    if before < 1.5:
-        return line
+    if before < 1.5 or 2 * sum(a or b for a, b in beside) < len(spots) and before - 0.5 * len(spots) < 3:
+        return line  # signs that stand by themselves, in words that are right
     best, best_cost = line, before - 1.2
     for read, written in SINGLE_BYTE:
         raw = to_bytes(line, read)

@@ -539,3 +539,14 @@ def test_repeated_lines_on_both_sides_of_the_bound(spark, monkeypatch, bound):
     hits, block = repeated_lines.boilerplate(df, "doc_id", "text", "source")
     assert got == {(r["row_id"], r["line_no"]) for r in hits.collect()} == {(i, n) for i in range(1, 40) for n in ((1, 3, 4) if i % 3 else (1, 3))}
     assert block.select("block").distinct().count() == 2  # "Foot 12" goes on with two lines; "Head" stands alone
+
+
+@pytest.mark.parametrize("text", ["The export volume of 106 million, up from 90", "Foods reached €7,221 million, led by the pipeline", "between 2009 and 2012 — a sparse result", "main­frame shrank to 42.6", "un plus tôt : l’essai « âgé »"])
+def test_unusual_spaces_are_no_case(text):
+    assert not mojibake.assess(text)[2]
+
+
+@pytest.mark.parametrize("text", ["À l’inverse, le « règlement inégal » a été archivé à Montsavel.", "Après 22 essais, le témoin vérifié révèle l’âge à la régie du port."])
+def test_lone_signs_do_not_hide_garbled_words(text):
+    wrong = text.encode("cp1252").decode("mac_roman")
+    assert mojibake.assess(wrong) == (text, 1, True)
