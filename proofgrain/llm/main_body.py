@@ -40,6 +40,8 @@ from pyspark.sql import functions as F
 from proofgrain.llm._shared import cut, map_columns, small
 
 VARYING_SHARE = 0.3
+#: Blocks that what is usual for a sign counts for beside a slot's own.
+SIGN_BLOCKS = 20
 #: Parts in which a host's skeletons are folded.
 PARTS = 16
 #: Rows of slots (different skeletons) that are broadcast; more are joined by shuffling.
@@ -329,6 +331,13 @@ def align(wrapper: Slot, tree: Slot) -> list[int]:
     return out
 
 
+def nodes(tree: Slot) -> Iterator[Slot]:
+    """The nodes below the root in order of the text."""
+    for x in tree.inner:
+        yield x
+        yield from nodes(x)
+
+
 def numbered(wrapper: Slot) -> Slot:
     stack, n = [wrapper], -1
     while stack:
@@ -373,7 +382,7 @@ def wrappers(skeletons: DataFrame) -> DataFrame:
 
 
 def aligned(skeletons: DataFrame, wrapper: DataFrame) -> DataFrame:
-    """host, skel, slots: the wrapper's node of each place of each skeleton."""
+    """host, skel, slots, signs: the wrapper's node and the hash of the sign of each place of each skeleton."""
     def make() -> Callable[..., list]:
         held: dict[str, Slot] = {}
 
@@ -383,12 +392,13 @@ def aligned(skeletons: DataFrame, wrapper: DataFrame) -> DataFrame:
                 if h not in held:
                     held.clear()
                     held[h] = numbered(read_tree(w))
-                out.append((h, k, align(held[h], read_tree(t))))
+                tree = read_tree(t)
+                out.append((h, k, align(held[h], tree), [xxhash.xxh64_intdigest(x.sign.encode("utf-8", "replace")) - (1 << 63) for x in nodes(tree)]))
             return out
         return run
 
     both = skeletons.select("host", "skel", "tree").repartition(_tasks(skeletons), "host", "skel").join(small(wrapper.withColumnRenamed("tree", "whole"), MAX_WRAPPERS), "host").sortWithinPartitions("host")
-    return map_columns(both, make, "host string, skel bigint, slots array<int>")
+    return map_columns(both, make, "host string, skel bigint, slots array<int>, signs array<bigint>")
 
 
 def squeeze(line: str) -> str:
@@ -488,9 +498,12 @@ def classified(pages: DataFrame, key: str, url: str, source: str, title: str, te
     per = marked.groupBy("fetch_id", "host", "skel", "cont", "place", "named").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("varying").alias("v"), F.count_if(F.col("kind").isin("link", "hidden")).alias("links"), F.count_if(F.col("kind") == "comment").alias("comments"))
     content = (F.col("v") >= VARYING_SHARE * F.col("n")) & (F.col("links") * 2 < F.col("n")) & (F.col("comments") * 2 < F.col("n"))
-    per = per.withColumn("content", content).join(small(slots, MAX_BROADCAST), ["host", "skel"], "left").withColumn("slot", F.when(F.col("named"), F.try_element_at("slots", F.col("place") + 1)))
-    per = cut(per.select("fetch_id", "host", "cont", "slot", "n", "content"))
-    judged_slots = per.where("slot >= 0").groupBy("host", "slot").agg(F.count(F.lit(1)).alias("times"), (F.sum(F.when(F.col("content"), F.col("n")).otherwise(0)) / F.sum("n")).alias("share")).where("times >= 3")
+    per = per.withColumn("content", content).join(small(slots, MAX_BROADCAST), ["host", "skel"], "left").withColumns({c: F.when(F.col("named"), F.try_element_at(f"{c}s", F.col("place") + 1)) for c in ("slot", "sign")})
+    per = cut(per.select("fetch_id", "host", "cont", "slot", "sign", "n", "content"))
+    # a slot is judged by its own blocks and, as some more, by those of its host's containers with its sign: a slot of few pages goes with them
+    by_slot = per.where("slot >= 0").groupBy("host", "slot", "sign").agg(F.count(F.lit(1)).alias("times"), F.sum(F.when(F.col("content"), F.col("n")).otherwise(0)).alias("c"), F.sum("n").alias("n"))
+    by_sign = by_slot.groupBy("host", "sign").agg(F.sum("times").alias("seen"), (F.sum("c") / F.sum("n")).alias("usual")).where("seen >= 3")
+    judged_slots = by_slot.join(by_sign, ["host", "sign"]).select("host", "slot", ((F.col("c") + SIGN_BLOCKS * F.col("usual")) / (F.col("n") + SIGN_BLOCKS)).alias("share"))
     decided = per.join(judged_slots, ["host", "slot"], "left").select("fetch_id", "cont", F.when(F.col("share").isNotNull(), F.col("share") >= 0.5).otherwise(F.col("content")).alias("main"), F.col("share").isNotNull().alias("slotted"))
     alone_too = cut(marked.join(decided, ["fetch_id", "cont"]).select("fetch_id", "form", "line_no", "kind", "shape", "single", "main", "slotted"))
     # what lines of a shape are: a signed comment among others goes by the containers such comments are in
