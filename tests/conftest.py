@@ -9,10 +9,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from proofgrain.session import build_session
 
-    s = build_session("tests", master="local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
+    s = build_session("tests", master="local[4]", **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint")), "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
