@@ -32,12 +32,11 @@ def normal_form(line: Column) -> Column:
 
 def line_keys(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """row_id, source and the array of line hashes (null for blank lines)."""
-    def hashed(x: Column) -> Column:
-        n = normal_form(x)
+    def hashed(n: Column) -> Column:
         return F.when(n.rlike(r"(?U)\S"), F.xxhash64(F.col("source"), n))
 
     base = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(source).alias("source"), F.col(text).alias("text"))
-    return base.where("text <> ''").select("row_id", "source", F.transform(F.split("text", "\n", -1), hashed).alias("keys"))
+    return base.where("text <> ''").select("row_id", "source", F.transform(F.transform(F.split("text", "\n", -1), normal_form), hashed).alias("keys"))
 
 
 def frequent_lines(keys: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
@@ -59,20 +58,21 @@ def frequent_lines(keys: DataFrame, min_docs: int = MIN_DOCS, min_share: float =
 
 
 def occurrences(keys: DataFrame, nodes: DataFrame) -> DataFrame:
-    """row_id, line_no, node of each line that is a node."""
-    lines = keys.select("row_id", F.posexplode("keys").alias("i", "node")).where("node is not null")
-    return lines.join(small(nodes.select("node"), MAX_BROADCAST_NODES), "node").select("row_id", (F.col("i") + 1).cast("bigint").alias("line_no"), "node")
+    """row_id, i, line_no, node of each line that is a node; ``i`` counts a document's lines without the blank ones."""
+    lines = F.filter(F.transform("keys", lambda k, n: F.struct((n + 1).cast("bigint").alias("line_no"), k.alias("node"))), lambda x: x["node"].isNotNull())
+    # outer: for an inner one Spark infers a filter on the array, which would make it once more
+    dense = keys.select("row_id", F.posexplode_outer(lines).alias("i", "x")).select("row_id", "i", "x.line_no", "x.node").where("node is not null")
+    return dense.join(small(nodes.select("node"), MAX_BROADCAST_NODES), "node").select("row_id", "i", "line_no", "node")
 
 
-def blocks(keys: DataFrame, nodes: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """node, block: the component of each node over edges of high support.
+def blocks(kept: DataFrame, nodes: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """node, source, docs, block: the component of each node over edges of high support.
 
     An edge is one kept line directly after another in a document (blank lines
     between them don't count); it is kept if it occurs in ``min_docs`` documents
-    at least. A node without such an edge is a block of its own.
+    at least. A node without such an edge is a block of its own. ``kept`` are
+    the nodes' occurrences.
     """
-    dense = keys.select("row_id", F.posexplode(F.filter("keys", lambda k: k.isNotNull())).alias("i", "node"))
-    kept = dense.join(small(nodes.select("node"), MAX_BROADCAST_NODES), "node")
     perdoc = kept.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("i", "node"))).alias("x"))
     pairs = perdoc.where(F.size("x") > 1).select(F.explode(F.array_distinct(F.filter(
         F.zip_with(F.slice("x", F.lit(1), F.size("x") - 1), F.slice("x", F.lit(2), F.size("x") - 1),
@@ -83,22 +83,21 @@ def blocks(keys: DataFrame, nodes: DataFrame, min_docs: int = MIN_DOCS) -> DataF
     return nodes.join(comp, nodes["node"] == comp["node"], "left").select(nodes["node"], nodes["source"], nodes["docs"], F.coalesce("component", nodes["node"]).alias("block"))
 
 
-def repeated(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """The occurrences to delete: row_id, line_no, node. Every kept node is in a block, so the blocks needn't be known."""
-    keys = line_keys(df, key, text, source)
-    return occurrences(keys, cut(frequent_lines(keys)))
-
-
 def boilerplate(df: DataFrame, key: str, text: str, source: str) -> tuple[DataFrame, DataFrame]:
     """The occurrences to delete (row_id, line_no, block) and the blocks' lines."""
     keys = line_keys(df, key, text, source)
-    nodes = frequent_lines(keys)
-    found = cut(nodes)
-    block = cut(blocks(keys, found))
-    hits = occurrences(keys, found).join(small(block.select("node", "block"), MAX_BROADCAST_NODES), "node")
+    nodes = cut(frequent_lines(keys))
+    kept = cut(occurrences(keys, nodes))
+    block = cut(blocks(kept, nodes))
+    hits = kept.join(small(block.select("node", "block"), MAX_BROADCAST_NODES), "node")
     return hits.select("row_id", "line_no", "block"), block
 
 
+def repeated(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """The occurrences of the blocks' lines: row_id, line_no, block."""
+    return boilerplate(df, key, text, source)[0]
+
+
 def clean(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """Each document of ``df`` without its boilerplate lines (key, text).
 

@@ -6,7 +6,7 @@ import random
 import pytest
 
 
-from proofgrain.llm import leakage, lookalikes, main_body, mojibake, near_duplicates, personal_data, repeated_lines, residue, tokens, truncation
+from proofgrain.llm import leakage, lookalikes, main_body, mojibake, near_duplicates, personal_data, queries, repeated_lines, residue, tokens, truncation
 from proofgrain.llm._shared import reduced
 
 WORDS = "the parser of quarterly revenue restores an idle harbour before any ledger was counted in Saltrey by the audit team who keep copies of every sparse index".split()
@@ -179,6 +179,33 @@ def test_repeated_lines_empty(spark):
     assert repeated_lines.clean(frame(spark, AWKWARD), "doc_id", "text", "source").count() == len(AWKWARD)
 
 
+@pytest.mark.parametrize("name", ["p4_found", "p4_clean"])
+def test_deletion_goes_by_blocks(spark, tmp_path, monkeypatch, name):
+    """Head and Note are one block (a blank line between them), Foot another one; the lines of a block taken away stay in the documents."""
+    frame(spark, [(i, f"Head\n\nNote {i}\nbody {'x' * i}\nFoot") for i in range(1, 9)]).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def deleted():
+        rows = queries.queries()[name](spark, str(tmp_path)).collect()
+        if name == "p4_found":
+            return {(r["doc_id"], r["line_no"]) for r in rows}
+        return {(r["doc_id"], n) for r in rows for n, line in ((1, "Head"), (3, f"Note {r['doc_id']}"), (5, "Foot")) if line not in r["text"].split("\n")}
+
+    assert deleted() == {(i, n) for i in range(1, 9) for n in (1, 3, 5)}
+    made = repeated_lines.blocks
+    monkeypatch.setattr(repeated_lines, "blocks", lambda *a: (b := made(*a)).join(b.groupBy("block").count().where("count = 2"), "block").select(*b.columns))
+    assert deleted() == {(i, n) for i in range(1, 9) for n in (1, 3)}
+
+
+def test_edges_count_documents_and_join_lines(spark):
+    """b follows a in four documents only (twice in one of them), c follows b in five."""
+    texts = ["a\nb\na\nb\nc"] + ["a\nb\nc"] * 3 + ["b\nc\nother\na"] + ["a\nown 1 x"]
+    hits, block = repeated_lines.boilerplate(frame(spark, list(enumerate(texts))), "doc_id", "text", "source")
+    assert sorted(r["n"] for r in block.groupBy("block").agg({"*": "count"}).toDF("block", "n").collect()) == [1, 2]
+    of = {(r["row_id"], r["line_no"]): r["block"] for r in hits.collect()}
+    assert set(of) == {(0, n) for n in range(1, 6)} | {(d, n) for d in (1, 2, 3) for n in (1, 2, 3)} | {(4, 1), (4, 2), (4, 4), (5, 1)}
+    assert of[0, 1] == of[0, 3] == of[4, 4] == of[5, 1] != of[0, 2] == of[0, 4] == of[0, 5] == of[4, 1] == of[4, 2]
+
+
 # 5 personal data
 NAMES = [("Maro", "given"), ("Quendry", "family"), ("Jörgen", "given"), ("Krällmoser", "family"), ("昶沅", "given"), ("澹台", "family"), (None, "given")]
 
